@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, url_filter, warc
+from . import mixing, sharding, substring_dedup, url_filter, warc
 from .oracle import ORACLE_SQL as ORACLE_SQL
 from .shared import table
 
@@ -34,6 +34,11 @@ def with_domain(docs: DataFrame) -> DataFrame:
     return docs.withColumn("domain", F.coalesce(F.element_at(F.array(*map(F.lit, DOMAINS)), at), F.lit("other")))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup(docs, size=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_domain(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     mixed = mixing.mix(docs, MIX_LEVELS, share=0.6, max_epochs=2)
@@ -57,6 +62,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
     "op9_sharding": op9_sharding,
