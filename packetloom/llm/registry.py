@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, substring_dedup, url_filter, warc
+from . import mixing, quality, sharding, substring_dedup, url_filter, warc
 from .oracle import ORACLE_SQL as ORACLE_SQL
 from .shared import table
 
@@ -51,6 +51,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, path)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, table(spark, sf_dir, "labels"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.assign(docs, [1.0] * SHARDS, [1.0] * (SHARDS + 1))
@@ -65,6 +70,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
+    "op5_quality_rules": op5_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_url_filter": op10_url_filter,
 }
