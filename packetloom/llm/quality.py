@@ -28,8 +28,8 @@ from . import tokens as tk
 
 #: Most labelled rows that a classifier is fitted on.
 SAMPLE = 6000
-WORD_SLOTS, CHAR_SLOTS = 1 << 18, 1 << 12
-CHAR_SCALE = 60.0
+WORD_SLOTS, CHAR_SLOTS = 1 << 18, 1 << 10
+WORD_SCALE, CHAR_SCALE = 15.0, 60.0
 #: A word feature has a weight when so many documents of the sample have it.
 MIN_DOCS = 3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -100,13 +100,18 @@ def features(texts: tk.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     text, slot = (both >> np.uint64(18)).astype(np.int64), (both & np.uint64(WORD_SLOTS - 1)).astype(np.int64)
     b = texts.buf.astype(np.uint32)
     grams = (b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA77) ^ b[2:] * np.uint32(0xC2B2AE3D)) if len(b) > 2 else np.zeros(0, np.uint32)
-    grams = (grams ^ (grams >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(20)
+    grams = (grams ^ (grams >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(22)
     # A trigram belongs to the text that holds all of it.
     low = np.minimum(texts.bounds[:-1], len(grams))
     high = np.clip(texts.bounds[1:] - 2, low, len(grams))
     return text, slot, np.stack([low, high]), grams.astype(np.int64)
 
 
+def word_scale(text: np.ndarray, n: int) -> np.ndarray:
+    """Value of a word feature in each text: less where there are many, so that long texts are judged like short ones."""
+    return WORD_SCALE / np.sqrt(np.maximum(np.bincount(text, minlength=n), 1))
+
+
 @dataclass
 class Head:
     """One calibrated logistic regression."""
@@ -117,7 +122,7 @@ class Head:
     shift: float
 
     def raw(self, n: int, text: np.ndarray, slot: np.ndarray, bounds: np.ndarray, grams: np.ndarray) -> np.ndarray:
-        out = np.bincount(text, self.words[slot], n)
+        out = np.bincount(text, self.words[slot], n) * word_scale(text, n)
         sums = np.concatenate([[0.0], np.cumsum(self.chars[grams], dtype=np.float64)])
         return out + CHAR_SCALE * (sums[bounds[1]] - sums[bounds[0]]) / np.maximum(bounds[1] - bounds[0], 1)
 
@@ -136,19 +141,20 @@ def _adam(params: list[np.ndarray], gradient, steps: int, rate: float) -> None:
 
 def fit_head(n: int, text: np.ndarray, slot: np.ndarray, shares: np.ndarray, label: np.ndarray, held: np.ndarray, steps: int = 300, l2: float = 3e-5) -> Head:
     """Weights from the rows that aren't held out, Platt scaling from those that are."""
+    value = word_scale(text, n)[text]
     common = np.bincount(slot, minlength=WORD_SLOTS)[slot] >= MIN_DOCS
-    text, slot = text[common], slot[common]
+    text, slot, value = text[common], slot[common], value[common]
     live, inner = np.unique(slot, return_inverse=True)
     w, c, bias = np.zeros(len(live)), np.zeros(CHAR_SLOTS, np.float32), np.zeros(1)
     base = float(np.clip(label.mean() if n else 0.5, 0.01, 0.99))
     if n == 0 or label[~held].min(initial=1) == label[~held].max(initial=0):
         return Head(np.zeros(WORD_SLOTS, np.float32), np.zeros(CHAR_SLOTS, np.float32), 0.0, float(np.log(base / (1 - base))))
     use, m = (~held).astype(float), float((~held).sum())
-    raw = lambda: np.bincount(text, w[inner], n) + CHAR_SCALE * (shares @ c) + bias[0]
+    raw = lambda: np.bincount(text, w[inner] * value, n) + CHAR_SCALE * (shares @ c) + bias[0]
 
     def gradient():
         r = (1 / (1 + np.exp(-np.clip(raw(), -40, 40))) - label) * use / m
-        return [np.bincount(inner, r[text], len(live)) + l2 * w, CHAR_SCALE * (r.astype(np.float32) @ shares) + l2 * c, np.array([r.sum()])]
+        return [np.bincount(inner, r[text] * value, len(live)) + l2 * w, CHAR_SCALE * (r.astype(np.float32) @ shares) + l2 * c, np.array([r.sum()])]
 
     _adam([w, c, bias], gradient, steps, 0.05)
     z = raw()
