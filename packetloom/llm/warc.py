@@ -80,9 +80,9 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
     records.select("page_id", F.encode(_header(date), "UTF-8").alias("header"), "sha256", "record_type", "refers_to").write.parquet(f"{path}/records")
     # Payloads move once: the bytes are joined to the first page of each digest, where equal rows of it are merged.
     key = F.coalesce(F.col("page_id"), F.lit(-(1 << 63)))
-    keys = first.select(F.coalesce(F.col("__first"), F.lit(-(1 << 63))).alias("__key"), "__sha256")
-    stored = pages.select(key.alias("__key"), payload.alias("payload")).join(keys, "__key").where(F.sha2("payload", 256) == F.col("__sha256"))
-    unique = stored.dropDuplicates(["__key", "__sha256"]).select(F.col("__sha256").alias("sha256"), "payload")
+    keys = first.select(F.coalesce(F.col("__first"), F.lit(-(1 << 63))).alias("__of"), "__sha256")
+    stored = pages.select(key.alias("__key"), payload.alias("payload")).join(keys, (F.col("__key") == F.col("__of")) & (F.sha2("payload", 256) == F.col("__sha256")))
+    unique = stored.dropDuplicates(["__of", "__sha256"]).select(F.col("__sha256").alias("sha256"), "payload")
     unique.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
