@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,11 @@ from .shared import buckets
 
 NULL_KEY = -(1 << 63)
 #: Windows that a task gathers before it sends them on.
-CHUNK = 1_500_000
-_FOUND = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("mark", pa.int64()), ("data", pa.binary())])
+CHUNK = 1_000_000
+#: Packed windows for a bucket, and packed starts for documents.
+WINDOWS, STARTS = 0, 1
+_FOUND = pa.schema([("kind", pa.int32()), ("place", pa.int32()), ("data", pa.binary())])
+_FOUND_SQL = "kind int, place int, data binary"
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -44,20 +48,20 @@ def _unplanes(data: bytes, kind: type, n: int) -> np.ndarray:
 
 
 def _pack(h: np.ndarray, key: np.ndarray, mark: np.ndarray, pos: np.ndarray) -> bytes:
-    """Entries in the order of documents and starts."""
+    """Entries in the order of documents and starts; h may be left out."""
     new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])]))
-    counts = np.diff(np.append(new, len(h))).astype(np.uint32)
+    counts = np.diff(np.append(new, len(key))).astype(np.uint32)
     step = np.diff(pos, prepend=0)
     step[new] = pos[new]
     return b"".join(
-        (np.array([len(h), len(new)], np.int64).tobytes(), h.tobytes(), _planes(step.astype(np.uint32)), _planes(key[new]), _planes(mark[new].astype(np.uint32)), _planes(counts))
+        (np.array([len(h), len(key), len(new)], np.int64).tobytes(), h.tobytes(), _planes(step.astype(np.uint32)), _planes(key[new]), _planes(mark[new].astype(np.uint32)), _planes(counts))
     )
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(data, np.int64, 2).tolist()
-    at, out = 16, []
-    for kind, k in ((np.uint64, n), (np.uint32, n), (np.int64, m), (np.uint32, m), (np.uint32, m)):
+    hashes, n, m = np.frombuffer(data, np.int64, 3).tolist()
+    at, out = 24, []
+    for kind, k in ((np.uint64, hashes), (np.uint32, n), (np.int64, m), (np.uint32, m), (np.uint32, m)):
         size = np.dtype(kind).itemsize * k
         out.append(np.frombuffer(data, kind, k, at) if kind is np.uint64 else _unplanes(data[at : at + size], kind, k))
         at += size
@@ -84,31 +88,26 @@ def _later(h: np.ndarray, key: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return out
 
 
-def _by_document(bucket: int, key: np.ndarray, mark: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of starts for each document."""
-    if not len(key):
-        return
-    order = np.lexsort((pos, mark, key))
-    key, mark, pos = key[order], mark[order], pos[order].astype(np.int32)
-    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])]))
-    for a in range(0, len(new), 20_000):
-        at = new[a : a + 20_000]
-        bounds = np.append(at, new[a + 20_000] if a + 20_000 < len(new) else len(key))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(at), bucket, np.int32)), pa.array(key[at]), pa.array(mark[at]), tk.binaries(pos[bounds[0] : bounds[-1]], bounds - bounds[0])],
-            schema=_FOUND,
-        )
+def _to_documents(kind: int, n: int, key: np.ndarray, mark: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Starts packed by the place (of n) where their documents will be."""
+    place = (key ^ mark) % n
+    order = np.lexsort((pos, mark, key, place))
+    ends = np.cumsum(np.bincount(place, minlength=n))
+    for p in np.unique(place).tolist():
+        at = order[ends[p - 1] if p else 0 : ends[p]]
+        data = _pack(np.zeros(0, np.uint64), key[at], mark[at], pos[at])
+        yield pa.RecordBatch.from_pydict({"kind": [kind], "place": [p], "data": [data]}, schema=_FOUND)
 
 
 def _settled(size: int, n_buckets: int):
-    """Batches of documents to packed windows (bucket of 0 or more) and starts that are later within the chunk (bucket below 0)."""
+    """Batches of documents to packed windows, and packed starts that are later than another of the chunk."""
 
     def flush(parts: list) -> Iterator[pa.RecordBatch]:
         h, lane, key, mark, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((pos, mark, key))
         h, lane, key, mark, pos = h[order], lane[order], key[order], mark[order], pos[order]
         late = _later(h, key, pos)
-        yield from _by_document(-1, key[late], mark[late], pos[late])
+        yield from _to_documents(STARTS, n_buckets, key[late], mark[late], pos[late])
         first = np.flatnonzero(~late)
         bucket = lane[first]
         order = first[np.argsort(bucket, kind="stable")]
@@ -117,7 +116,7 @@ def _settled(size: int, n_buckets: int):
         for b in np.flatnonzero(sizes):
             at = order[ends[b] - sizes[b] : ends[b]]
             data = _pack(h[at], key[at], mark[at], pos[at])
-            yield pa.RecordBatch.from_pydict({"bucket": [b], "key": [0], "mark": [0], "data": [data]}, schema=_FOUND)
+            yield pa.RecordBatch.from_pydict({"kind": [WINDOWS], "place": [b], "data": [data]}, schema=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
@@ -142,28 +141,46 @@ def _settled(size: int, n_buckets: int):
     return run
 
 
-def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket, or some: packed windows to the starts that are later than another's; other rows pass."""
-    packed: dict[int, list] = {}
-    for batch in batches:
-        kinds = tk.longs(batch.column("bucket"))
-        if (kinds < 0).any():
-            yield batch.filter(pa.array(kinds < 0))
-        for k in np.flatnonzero(kinds >= 0):
-            packed.setdefault(int(kinds[k]), []).append(batch.column("data")[int(k)].as_py())
-    for bucket in sorted(packed):
-        h, key, mark, pos = (np.concatenate(x) for x in zip(*map(_unpack, packed.pop(bucket)), strict=True))
-        late = _later(h, key, pos)
-        yield from _by_document(bucket, key[late], mark[late], pos[late])
+def _resolved(n_buckets: int):
+    """Packed windows of a bucket to the starts that are later than another's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed: dict[int, list] = {}
+        for batch in batches:
+            for bucket, data in zip(batch.column("place").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                packed.setdefault(bucket, []).append(data)
+        for bucket in sorted(packed):
+            h, key, mark, pos = (np.concatenate(x) for x in zip(*map(_unpack, packed.pop(bucket)), strict=True))
+            late = _later(h, key, pos)
+            yield from _to_documents(STARTS, n_buckets, key[late], mark[late], pos[late])
+
+    return run
+
+
+def _both(size: int, n: int):
+    """The two steps after the windows are dealt: starts pass, windows are resolved."""
+    resolve = _resolved(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed: list[pa.RecordBatch] = []
+
+        def own() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                mine = pa.array(tk.longs(batch.column("kind")) == WINDOWS)
+                passed.append(batch.filter(pa.compute.invert(mine)))
+                yield batch.filter(mine)
+
+        yield from resolve(own())
+        yield from passed
+
+    return run
 
 
 def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
-    """Starts of windows that also start earlier: (key, mark, starts), some rows for each document (key, mark)."""
+    """Packed starts of windows that also start earlier: (place, data), each for the documents of one place."""
     n = buckets(docs.sparkSession)
-    found = docs.mapInArrow(_settled(size, n), "bucket int, key long, mark long, data binary")
-    place = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.col("key"), F.lit(n)).cast("int"))
-    dealt = found.repartitionById(n, place)
-    return dealt.mapInArrow(_resolved, "bucket int, key long, mark long, data binary").groupBy("key", "mark").agg(F.collect_list("data").alias("starts"))
+    found = docs.mapInArrow(_settled(size, n), _FOUND_SQL)
+    return found.repartitionById(n, "place").mapInArrow(_both(size, n), _FOUND_SQL).select("place", "data")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -179,23 +196,48 @@ def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
+def _starts_of(packed: list[bytes], size: int):
+    """Finds the starts for (key, mark) among packed ones."""
+    parts = [_unpack(x)[1:] for x in packed]
+    key, mark, pos = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+    order = np.lexsort((mark, key))
+    key, mark, pos = key[order], mark[order], pos[order]
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])])) if len(key) else np.zeros(0, np.int64)
+    stop = np.append(new[1:], len(key))[: len(new)]
+    at = dict(zip(zip(key[new].tolist(), mark[new].tolist(), strict=True), zip(new.tolist(), stop.tolist(), strict=True), strict=True))
+
+    def find(k: int, m: int) -> np.ndarray:
+        a, b = at.get((k, m), (0, 0))
+        return pos[a:b]
+
+    return find
+
+
 def _kept(size: int):
+    """Packed starts come first in a partition, then its documents."""
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.list_(pa.int32())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed: list[bytes] = []
+        find = None
         for batch in batches:
+            here = batch.column("data").is_valid()
+            packed += batch.filter(here).column("data").to_pylist()
+            batch = batch.filter(pa.compute.invert(here))
+            if batch.num_rows and find is None:
+                find, packed = _starts_of(packed, size), []
             for part, texts in tk.slices(batch):
                 starts, ends, first = texts.words()
                 n = np.diff(first)
                 gone = np.zeros(len(starts), bool)
-                lists = part.column("starts")
-                spans: list[list[list[int]]] = [[] for _ in range(part.num_rows)]
-                for k in np.flatnonzero(~lists.is_null().to_numpy(zero_copy_only=False)):
-                    at = np.frombuffer(b"".join(lists[int(k)].as_py()), np.int32)
-                    hit = covered(int(n[k]), at, size)
-                    gone[first[k] : first[k + 1]] = hit
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                    spans[k] = edges.reshape(-1, 2).tolist()
+                spans: list[list[list[int]]] = []
+                for k, (key, mark) in enumerate(zip(part.column("key").to_pylist(), part.column("mark").to_pylist(), strict=True)):
+                    at = find(key, mark)
+                    if len(at):
+                        gone[first[k] : first[k + 1]] = hit = covered(int(n[k]), at, size)
+                        spans.append(np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).reshape(-1, 2).tolist())
+                    else:
+                        spans.append([])
                 keep = np.flatnonzero(~gone)
                 s, e = starts[keep], ends[keep]
                 width = e - s + 1
@@ -219,6 +261,9 @@ def _kept(size: int):
 def dedup(docs: DataFrame, size: int = 20) -> DataFrame:
     """For each document what is left: doc_id, n_words, n_removed, kept_sha256 and the removed intervals of words."""
     rows = keyed(docs)
+    n = buckets(docs.sparkSession)
     starts = repeated_windows(rows, size)
-    joined = rows.join(starts, ["key", "mark"], "left").select("doc_id", "text", "starts")
-    return joined.mapInArrow(_kept(size), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<array<int>>")
+    place = F.pmod(F.col("key").bitwiseXOR(F.col("mark")), F.lit(n)).cast("int").alias("place")
+    both = starts.unionByName(rows.select(place, "doc_id", "text", "key", "mark"), allowMissingColumns=True)
+    dealt = both.repartitionById(n, "place").sortWithinPartitions(F.col("data").isNull())
+    return dealt.select("doc_id", "text", "key", "mark", "data").mapInArrow(_kept(size), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<array<int>>")
