@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, substring_dedup, url_filter, warc
+from . import mixing, near_dup, quality, sharding, substring_dedup, url_filter, warc
 from .oracle import ORACLE_SQL as ORACLE_SQL
 from .shared import table
 
@@ -56,6 +56,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, table(spark, sf_dir, "labels"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.classes(docs).select("doc_id", "class_id", "n_links")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.assign(docs, [1.0] * SHARDS, [1.0] * (SHARDS + 1))
@@ -71,6 +76,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_sharding": op9_sharding,
     "op10_url_filter": op10_url_filter,
 }
