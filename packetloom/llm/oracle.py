@@ -1,3 +1,51 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLE_SQL: dict[str, str] = {}
+_DOC_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP1 = rf"""
+WITH d AS (SELECT doc_id, {_DOC_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h FROM s),
+late AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min((doc_id, i)) OVER (PARTITION BY h) AS f FROM g) WHERE (doc_id, i) > f
+),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM late, range(0, 20) r(k)),
+kept AS (
+  SELECT d.doc_id, list(x.word ORDER BY x.p) AS k
+  FROM d, LATERAL (SELECT unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p) x
+  ANTI JOIN gone ON gone.doc_id = d.doc_id AND gone.p = x.p
+  GROUP BY d.doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(len(k), 0))::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz"
+_PLAIN_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_LETTERS}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP6 = rf"""
+WITH d AS (SELECT doc_id, {_PLAIN_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_PLAIN_WORDS} AS w FROM benchmark),
+q AS (
+  SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS g
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
+),
+sizes AS (SELECT DISTINCT n FROM q),
+s AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)
+),
+h AS (SELECT s.doc_id, s.i, s.n, q.item FROM s JOIN q ON s.g = q.g AND s.n = q.n),
+p AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM h, range(0, 13) r(k) WHERE k < n GROUP BY doc_id),
+t AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS x
+  FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(x, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op6_decontam": OP6}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dup, quality, sharding, substring_dedup, url_filter, warc
+from . import decontam, mixing, near_dup, quality, sharding, substring_dedup, url_filter, warc
 from .oracle import ORACLE_SQL as ORACLE_SQL
 from .shared import table
 
@@ -56,6 +56,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, table(spark, sf_dir, "labels"))
 
 
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontam.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return judged.select(
+        "doc_id",
+        F.col("__n_words").alias("n_words"),
+        F.col("__n_hit").alias("n_hit"),
+        F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
+        F.col("__contaminated").alias("contaminated"),
+    )
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dup.classes(docs).select("doc_id", "class_id", "n_links")
@@ -76,6 +88,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
+    "op6_decontam": op6_decontam,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_sharding": op9_sharding,
     "op10_url_filter": op10_url_filter,
