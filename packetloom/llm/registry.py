@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, near_dup, quality, sharding, substring_dedup, url_filter, warc
+from . import decontam, line_dedup, mixing, near_dup, quality, sharding, substring_dedup, url_filter, warc
 from .oracle import ORACLE_SQL as ORACLE_SQL
 from .shared import table
 
@@ -73,6 +73,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(docs).select("doc_id", "class_id", "n_links")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.assign(docs, [1.0] * SHARDS, [1.0] * (SHARDS + 1))
@@ -90,6 +94,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_decontam": op6_decontam,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
     "op10_url_filter": op10_url_filter,
 }
