@@ -201,7 +201,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = groups.join(size, "label").join(sets, "node").select(
         "node", "label", "copies", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int").alias("block"), F.col("first.key").alias("key"), F.col("first.mark").alias("mark")
     )
-    texts = rows.select("key", "mark", "text").join(cut(members, "near_members"), ["key", "mark"]).drop("key", "mark")
+    texts = rows.select("key", "mark", "text").join(cut(members, "near_members").hint("merge"), ["key", "mark"]).drop("key", "mark")
     units = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "text"
     )
