@@ -96,7 +96,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     rows = docs.withColumn("__key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long")).withColumn("__mark", F.crc32(text).cast("long"))
     slim = rows.select(F.col("__key").alias("key"), F.col("__mark").alias("mark"), "text")
     found = hits(slim, benchmark, size).select(F.col("key").alias("__k"), F.col("mark").alias("__m"), "candidates")
-    joined = rows.join(found, (F.col("__key") == F.col("__k")) & (F.col("__mark") == F.col("__m")), "left").drop("__key", "__mark", "__k", "__m")
+    joined = rows.join(found.hint("merge"), (F.col("__key") == F.col("__k")) & (F.col("__mark") == F.col("__m")), "left").drop("__key", "__mark", "__k", "__m")
     joined = joined.withColumn("__words", words(F.col("text"))).withColumn("__n_words", F.size("__words").cast("long"))
     none = F.array().cast("array<struct<item:string,start:int,w:int>>")
     hit = F.when(F.col("candidates").isNotNull(), _verified(F.col("__words"), F.size("__words"), F.col("candidates"))).otherwise(none)
