@@ -303,7 +303,7 @@ def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
         F.col("first.mark").alias("mark"),
     )
     wanted = cut(members.groupBy("key", "mark").agg(F.collect_list("m").alias("wanted")), "line_members")  # at most the lines of a document
-    texts = rows.select("key", "mark", F.split(F.coalesce("text", F.lit("")), "\n").alias("all")).join(wanted, ["key", "mark"])
+    texts = rows.select("key", "mark", F.split(F.coalesce("text", F.lit("")), "\n").alias("all")).join(wanted.hint("merge"), ["key", "mark"])
     taken = texts.select(F.explode(F.transform("wanted", lambda m: F.struct(m.alias("m"), F.get("all", m["number"]).alias("line")))).alias("t"))
     taken = taken.select("t.m.*", "t.line").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = taken.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "line", F.col("key").alias("first_key"), F.col("number").alias("first_number"))
