@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, mixing, near_dup, quality, sharding, substring_dedup, url_filter, warc
+from . import decontam, line_dedup, lm, mixing, near_dup, quality, sharding, substring_dedup, url_filter, warc
 from .oracle import ORACLE_SQL as ORACLE_SQL
 from .shared import table
 
@@ -39,6 +39,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(docs, size=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_domain(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     mixed = mixing.mix(docs, MIX_LEVELS, share=0.6, max_epochs=2)
@@ -89,6 +93,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_lm_score": op2_lm_score,
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
