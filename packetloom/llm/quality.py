@@ -197,25 +197,40 @@ def train(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = ("quality
 OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality_probability double, toxic_probability double"
 
 
+def verdicts(heads: list[Head], texts: tk.Texts) -> dict[str, np.ndarray]:
+    """Counts, rules, probabilities and verdict for some texts."""
+    found = {k: v.astype(np.int64) for k, v in counts(texts).items()}
+    n, given = len(texts.bounds) - 1, features(texts)
+    good, bad = (h.probability(h.raw(n, *given)) for h in heads)
+    failed = (found["n_words"] < MIN_WORDS) | (100 * found["n_repeat_words"] > MAX_REPEAT_PERCENT * found["n_words"])
+    kept = ~failed & (good >= KEEP_QUALITY) & (bad < DROP_TOXIC)
+    return found | {"base_failed": failed, "kept": kept, "quality_probability": good, "toxic_probability": bad}
+
+
 def score(docs: DataFrame, heads: list[Head]) -> DataFrame:
     """Counts, rules, probabilities and the verdict for each document (doc_id, text)."""
     model = docs.sparkSession.sparkContext.broadcast(heads)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quality, toxic = model.value
         for batch in batches:
             for part, texts in tk.slices(batch):
-                found = counts(texts)
-                given = features(texts)
-                good, bad = (h.probability(h.raw(part.num_rows, *given)) for h in (quality, toxic))
-                failed = (found["n_words"] < MIN_WORDS) | (100 * found["n_repeat_words"] > MAX_REPEAT_PERCENT * found["n_words"])
-                kept = ~failed & (good >= KEEP_QUALITY) & (bad < DROP_TOXIC)
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": part.column("doc_id").cast(pa.int64()), **{k: pa.array(v.astype(np.int64)) for k, v in found.items()}, "base_failed": failed, "kept": kept, "quality_probability": good, "toxic_probability": bad}
-                )
+                found = verdicts(model.value, texts)
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").cast(pa.int64()), **{k: pa.array(v) for k, v in found.items()}})
 
     return docs.select("doc_id", "text").mapInArrow(run, OUT)
 
 
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows that are kept, with all their columns."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs.select("doc_id", "text"), labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in tk.slices(batch):
+                yield part.filter(pa.array(verdicts(model.value, texts)["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, train(docs, labels))

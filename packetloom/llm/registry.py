@@ -21,17 +21,20 @@ URL_RULES = (
 
 #: Domain of a source: by the number in its name.
 DOMAINS = ("web", "books", "code", "forum")
-MIX_LEVELS = (
-    mixing.Level("domain", {"web": 0.45, "books": 0.25, "code": 0.2, "forum": 0.1}, other=0.05),
-    mixing.Level("lang", {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}, other=0.1),
-    mixing.Level("source"),
-)
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
+def mix_levels(domain: str = "domain") -> tuple[mixing.Level, ...]:
+    return (
+        mixing.Level(domain, {"web": 0.45, "books": 0.25, "code": 0.2, "forum": 0.1}, other=0.05),
+        mixing.Level("lang", {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}, other=0.1),
+        mixing.Level("source"),
+    )
+
+
+def with_domain(docs: DataFrame, name: str = "domain") -> DataFrame:
     number = F.regexp_extract(F.coalesce(F.col("source"), F.lit("")), r"([0-9]{1,9})$", 1)
     at = F.when(number != "", number.cast("int") % len(DOMAINS) + 1)
-    return docs.withColumn("domain", F.coalesce(F.element_at(F.array(*map(F.lit, DOMAINS)), at), F.lit("other")))
+    return docs.withColumn(name, F.coalesce(F.element_at(F.array(*map(F.lit, DOMAINS)), at), F.lit("other")))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +48,7 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_domain(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    mixed = mixing.mix(docs, MIX_LEVELS, share=0.6, max_epochs=2)
+    mixed = mixing.mix(docs, mix_levels(), share=0.6, max_epochs=2)
     return mixed.select("doc_id", "domain", "lang", "source", F.col("__tokens").alias("n_tokens"), F.col("__copies").alias("n_copies"))
 
 
