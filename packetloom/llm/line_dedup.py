@@ -205,12 +205,14 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0, a : a + 50_000]), pa.array(pairs[1, a : a + 50_000])], names=["a", "b"])
 
 
-def near_pairs(lines: list[str], edits: int, cross: np.ndarray | None = None) -> np.ndarray:
-    """Pairs of lines (2 x n, indexes) within `edits` edits; with cross, only pairs of different sides."""
+def near_pairs(lines: list[str], edits: int, group: np.ndarray | None = None, side: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of lines (2 x n, indexes) within `edits` edits, of one group and of different sides where those are given."""
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     length = np.array([len(x) for x in lines], np.int64)
     starts = np.cumsum(length) - length
     who, key, own = entries(tk.prefix_sums(tk.mix(points.astype(np.uint64)), _POINTS), starts, length, edits)
+    if group is not None:
+        key = tk.mix(key ^ tk.mix(group[who].astype(np.uint64) + np.uint64(1)))
     order = np.lexsort((own, key))
     who, key, own = who[order], key[order], own[order]
     # Every probe of a key meets every segment of it, which come last.
@@ -223,8 +225,8 @@ def near_pairs(lines: list[str], edits: int, cross: np.ndarray | None = None) ->
         a, c, z = new[g], new[g] + sizes[g] - segments[g], new[g] + sizes[g]
         left, right = np.repeat(who[a:c], z - c), np.tile(who[c:z], c - a)
         ok = left != right
-        if cross is not None:
-            ok &= cross[left] != cross[right]
+        if side is not None:
+            ok &= side[left] != side[right]
         if ok.any():
             pair = np.stack([np.minimum(left[ok], right[ok]), np.maximum(left[ok], right[ok])])
             found.append(pair[0] * len(lines) + pair[1])
@@ -237,48 +239,58 @@ def near_pairs(lines: list[str], edits: int, cross: np.ndarray | None = None) ->
 
 
 _UNIT = ("label", "i", "j")
+#: Lines that are compared at once; units are not divided.
+TOGETHER = 8192
+
+
+def _compared(rows: pa.RecordBatch, unit: np.ndarray, edits: int) -> pa.RecordBatch:
+    """Whole units: for each line with links in its unit their number and the earliest place they lead to."""
+    nodes = tk.longs(rows.column("node"))
+    _, at = np.unique(np.stack([unit, nodes]), axis=1, return_index=True)
+    rows, unit, nodes = rows.take(pa.array(at)), unit[at], nodes[at]
+    # Two blocks are compared with each other only; in a block with itself every line is a side of its own.
+    one = tk.longs(rows.column("i")) == tk.longs(rows.column("j"))
+    side = np.where(one, np.arange(len(at)), -1 - tk.longs(rows.column("block")))
+    a, b = near_pairs(rows.column("line").to_pylist(), edits, unit, side)
+    links = np.bincount(np.concatenate([a, b]), minlength=len(nodes))
+    key, number = tk.longs(rows.column("first_key")), tk.longs(rows.column("first_number"))
+    rank = np.empty(len(nodes), np.int64)
+    order = np.lexsort((number, key))
+    rank[order] = np.arange(len(nodes))
+    best = np.full(len(nodes), len(nodes))
+    np.minimum.at(best, a, rank[b])
+    np.minimum.at(best, b, rank[a])
+    hit = np.flatnonzero(links)
+    first = order[best[hit]]
+    return pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(links[hit]), pa.array(key[first]), pa.array(number[first])], names=["node", "links", "near_key", "near_number"])
 
 
 def _verified(edits: int):
-    def unit(rows: pa.Table) -> pa.RecordBatch | None:
-        rows = rows.combine_chunks()
-        nodes = tk.longs(rows.column("node").combine_chunks())
-        _, at = np.unique(nodes, return_index=True)
-        if len(at) < 2:
-            return None
-        rows = rows.take(pa.array(at))
-        nodes = nodes[at]
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        a, b = near_pairs(rows.column("line").to_pylist(), edits, tk.longs(rows.column("block").combine_chunks()) if i != j else None)
-        links = np.bincount(np.concatenate([a, b]), minlength=len(nodes))
-        key, number = tk.longs(rows.column("first_key").combine_chunks()), tk.longs(rows.column("first_number").combine_chunks())
-        rank = np.empty(len(nodes), np.int64)
-        order = np.lexsort((number, key))
-        rank[order] = np.arange(len(nodes))
-        best = np.full(len(nodes), len(nodes))
-        np.minimum.at(best, a, rank[b])
-        np.minimum.at(best, b, rank[a])
-        hit = np.flatnonzero(links)
-        first = order[best[hit]]
-        return pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(links[hit]), pa.array(key[first]), pa.array(number[first])], names=["node", "links", "near_key", "near_number"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        last = None
+        n = 0
+
+        def whole(last: bool) -> Iterator[pa.RecordBatch]:
+            """Compares what is held, but for the last unit, of which more may come."""
+            nonlocal held, n
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            ids = np.stack([tk.longs(rows.column(c)) for c in _UNIT])
+            unit = np.cumsum(np.concatenate([[False], (ids[:, 1:] != ids[:, :-1]).any(axis=0)]))
+            stop = rows.num_rows if last else int(np.searchsorted(unit, unit[-1]))
+            if stop:
+                yield _compared(rows.slice(0, stop), unit[:stop], edits)
+            held = [rows.slice(stop)] if stop < rows.num_rows else []
+            n = rows.num_rows - stop
+
         for batch in batches:
-            ids = np.stack([tk.longs(batch.column(c)) for c in _UNIT])
-            cuts = np.concatenate([[0], np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if a == b:
-                    continue
-                if tuple(ids[:, a].tolist()) != last and held:
-                    if (found := unit(pa.Table.from_batches(held))) is not None:
-                        yield found
-                    held = []
-                last = tuple(ids[:, a].tolist())
-                held.append(batch.slice(a, b - a))
-        if held and (found := unit(pa.Table.from_batches(held))) is not None:
-            yield found
+            for a in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(a, TOGETHER)
+                held.append(part)
+                n += part.num_rows
+                if n >= TOGETHER:
+                    yield from whole(False)
+        if held:
+            yield from whole(True)
 
     return run
 
