@@ -6,8 +6,8 @@ calibrated by Platt scaling on a held-out quarter of it, and scored in Arrow bat
 document is kept when no rule fails, the quality probability is at least KEEP_QUALITY, and the toxic probability is
 below DROP_TOXIC.
 
-Features of a text: the set of its hashed word unigrams and bigrams (A-Z lower-cased runs of letters, digits and
-non-ASCII bytes), and the shares of its hashed byte trigrams.
+Features of a text: the set of its hashed words (A-Z lower-cased runs of letters, digits and non-ASCII bytes) and of the
+n-grams that they begin with, which catch the inflections of a stem; and the shares of its hashed byte trigrams.
 
 Defined cases: a null or wordless text has no words, so it fails the rules; equal rows are judged alike; label rows
 with a null are not used; a document with several label rows counts once for each; without rows of both classes a head gives its
@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 from . import tokens as tk
 
 #: Most labelled rows that a classifier is fitted on.
-SAMPLE = 6000
+SAMPLE = 5000
 WORD_SLOTS, CHAR_SLOTS = 1 << 18, 1 << 10
 WORD_SCALE, CHAR_SCALE = 15.0, 60.0
+#: Bytes of the n-grams at the beginnings of words.
+HEADS = (4, 5)
 #: A word feature has a weight when so many documents of the sample have it.
 MIN_DOCS = 3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -37,7 +39,6 @@ KEEP_QUALITY, DROP_TOXIC = 0.5, 0.5
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
-_PAIR = 0x8EBC6AF09C88C6E3
 
 
 def _per_text(marks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -93,10 +94,9 @@ def features(texts: tk.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     """Distinct word features (text, slot), and every trigram's (text's bounds, slot)."""
     starts, ends, first = texts.spans(tk.ALNUM_BYTES)
     who = tk.owner(first)
-    hashes = texts.hashes(starts, ends, lower=True)
-    at, pairs = tk.windows(hashes, first, 2, _PAIR)
-    slots = np.concatenate([hashes, pairs]) >> np.uint64(46)
-    both = np.unique((np.concatenate([who, who[at]]).astype(np.uint64) << np.uint64(18)) | slots)
+    sums = texts.sums(lower=True)
+    hashes = [tk.mix(tk.span_hashes(sums, tk.BASE_BYTES, starts, np.minimum(starts + size, ends)) + np.uint64(size)) for size in (*HEADS, 1 << 32)]
+    both = np.unique(np.concatenate([(who.astype(np.uint64) << np.uint64(18)) | (h >> np.uint64(46)) for h in hashes]))
     text, slot = (both >> np.uint64(18)).astype(np.int64), (both & np.uint64(WORD_SLOTS - 1)).astype(np.int64)
     b = texts.buf.astype(np.uint32)
     grams = (b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA77) ^ b[2:] * np.uint32(0xC2B2AE3D)) if len(b) > 2 else np.zeros(0, np.uint32)
@@ -139,16 +139,50 @@ def _adam(params: list[np.ndarray], gradient, steps: int, rate: float) -> None:
             p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
 
 
-def fit_head(n: int, text: np.ndarray, slot: np.ndarray, shares: np.ndarray, label: np.ndarray, held: np.ndarray, steps: int = 300, l2: float = 3e-5) -> Head:
+@dataclass
+class Sample:
+    """Features of labelled documents; word features that few of them have are left out."""
+
+    n: int
+    text: np.ndarray
+    slot: np.ndarray
+    value: np.ndarray
+    shares: np.ndarray
+
+    @classmethod
+    def of(cls, batches: list[pa.RecordBatch]) -> Sample:
+        n, texts, slots, values, shares = 0, [], [], [], []
+        for batch in batches:
+            for part, some in tk.slices(batch):
+                text, slot, bounds, grams = features(some)
+                texts.append((text + n).astype(np.int32))
+                slots.append(slot.astype(np.int32))
+                values.append(word_scale(text, part.num_rows)[text].astype(np.float32))
+                for a, b in bounds.T.tolist():
+                    shares.append(np.bincount(grams[a:b], minlength=CHAR_SLOTS).astype(np.float32) / max(b - a, 1))
+                n += part.num_rows
+        if not n:
+            return cls(0, *(np.zeros(0, t) for t in (np.int32, np.int32, np.float32)), np.zeros((0, CHAR_SLOTS), np.float32))
+        common = np.bincount(np.concatenate(slots), minlength=WORD_SLOTS) >= MIN_DOCS
+        keep = [common[x] for x in slots]
+        return cls(n, *(np.concatenate([x[k] for x, k in zip(xs, keep, strict=True)]) for xs in (texts, slots, values)), np.stack(shares))
+
+
+def fit_head(sample: Sample, label: np.ndarray, held: np.ndarray, steps: int = 300, l2: float = 1e-3) -> Head:
     """Weights from the rows that aren't held out, Platt scaling from those that are."""
-    value = word_scale(text, n)[text]
-    common = np.bincount(slot, minlength=WORD_SLOTS)[slot] >= MIN_DOCS
-    text, slot, value = text[common], slot[common], value[common]
-    live, inner = np.unique(slot, return_inverse=True)
-    w, c, bias = np.zeros(len(live)), np.zeros(CHAR_SLOTS, np.float32), np.zeros(1)
+    n, text, value, shares = sample.n, sample.text, sample.value, sample.shares
     base = float(np.clip(label.mean() if n else 0.5, 0.01, 0.99))
     if n == 0 or label[~held].min(initial=1) == label[~held].max(initial=0):
         return Head(np.zeros(WORD_SLOTS, np.float32), np.zeros(CHAR_SLOTS, np.float32), 0.0, float(np.log(base / (1 - base))))
+    live, inner = np.unique(sample.slot, return_inverse=True)
+    inner = inner.astype(np.int32)
+    # Each word feature is scaled by how much more often one class has it (a naive Bayes log ratio), which mutes the many that tell nothing.
+    train = ~held[text]
+    ups = np.bincount(inner[train], label[text[train]], len(live)) + 1
+    downs = np.bincount(inner[train], 1 - label[text[train]], len(live)) + 1
+    ratio = np.log((ups / (label[~held].sum() + 2)) / (downs / ((1 - label[~held]).sum() + 2)))
+    value = value * ratio[inner].astype(np.float32)
+    w, c, bias = np.zeros(len(live)), np.zeros(CHAR_SLOTS, np.float32), np.zeros(1)
     use, m = (~held).astype(float), float((~held).sum())
     raw = lambda: np.bincount(text, w[inner] * value, n) + CHAR_SCALE * (shares @ c) + bias[0]
 
@@ -169,7 +203,7 @@ def fit_head(n: int, text: np.ndarray, slot: np.ndarray, shares: np.ndarray, lab
 
     _adam([a, b], calibration, 500, 0.05)
     words = np.zeros(WORD_SLOTS, np.float32)
-    words[live] = w
+    words[live] = w * ratio
     return Head(words, c.astype(np.float32), float(a[0]), float(a[0] * bias[0] + b[0]))
 
 
@@ -178,20 +212,12 @@ def train(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = ("quality
     usable = labels.where(" and ".join(f"{c} is not null" for c in ("doc_id", *names))).select(F.col("doc_id").alias("__id"), *names)
     chosen = usable.orderBy(F.xxhash64("__id"), "__id", *names).limit(sample)  # a documented bound, so it may be sent to every task
     rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *names)
-    table = rows.orderBy(F.xxhash64("__id"), "__id", F.xxhash64("text"), *names).limit(sample).toArrow().combine_chunks()
-    n, texts, slots, shares = 0, [], [], []
-    for batch in table.to_batches():
-        for part, some in tk.slices(batch):
-            text, slot, bounds, grams = features(some)
-            texts.append(text + n)
-            slots.append(slot)
-            for a, b in bounds.T.tolist():
-                shares.append(np.bincount(grams[a:b], minlength=CHAR_SLOTS).astype(np.float32) / max(b - a, 1))
-            n += part.num_rows
-    text, slot = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (texts, slots))
-    share = np.stack(shares) if shares else np.zeros((0, CHAR_SLOTS), np.float32)
-    held = np.arange(n) % 4 == 3
-    return [fit_head(n, text, slot, share, np.clip(table.column(c).to_numpy().astype(float), 0, 1), held) for c in names]
+    table = rows.orderBy(F.xxhash64("__id"), "__id", F.xxhash64("text"), *names).limit(sample).toArrow()
+    found = Sample.of(table.select(["text"]).to_batches())
+    wanted = [np.clip(table.column(c).to_numpy().astype(float), 0, 1) for c in names]
+    del table
+    held = np.arange(found.n) % 4 == 3
+    return [fit_head(found, label, held) for label in wanted]
 
 
 OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality_probability double, toxic_probability double"
