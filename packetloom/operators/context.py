@@ -58,14 +58,65 @@ def tuple_metrics(cohort: DataFrame, targets: DataFrame) -> DataFrame:
     return found.withColumns(gaps).select("target_flow_id", *TUPLE_COLUMNS)
 
 
-def _source_aggregates(protocol: int) -> list[Column]:
-    flags, out, inn = F.col("tcp_flags"), F.col("outbound"), F.col("inbound")
-    values = [F.count("timestamp")]
-    if protocol == TCP:
-        values += [F.count_if(x) for x in (out & plain_syn(flags), inn & has(flags, SYN) & has(flags, ACK), out & has(flags, RST), inn & has(flags, RST), out & has(flags, FIN), inn & has(flags, FIN))]
-    for item in (F.col("dst_ip"), F.col("dst_port"), F.struct("dst_ip", "dst_port")):
-        values.append(F.count_distinct(F.when(out, item)))
-    return [v.alias(name) for v, name in zip(values, METRICS[protocol], strict=True)]
+#: What is counted of a source's packets, and in which order each protocol's columns take it.
+_FLAGGED = {
+    "plain_syn": lambda out, inn, flags: out & plain_syn(flags),
+    "syn_ack": lambda out, inn, flags: inn & has(flags, SYN) & has(flags, ACK),
+    "rst_out": lambda out, inn, flags: out & has(flags, RST),
+    "rst_in": lambda out, inn, flags: inn & has(flags, RST),
+    "fin_out": lambda out, inn, flags: out & has(flags, FIN),
+    "fin_in": lambda out, inn, flags: inn & has(flags, FIN),
+}
+_UNIQUE = ("ips", "ports", "pairs")
+_PARTS = {TCP: ("packets", *_FLAGGED, *_UNIQUE), UDP: ("packets", *_UNIQUE)}
+_EVENT = ("context_source_ip", "protocol", "timestamp", "tcp_flags", "outbound", "inbound", "dst_ip", "dst_port")
+
+
+def _counted(rows: DataFrame, keys: list[str], scopes: dict[str, Column]) -> DataFrame:
+    """All counts for each key and scope, as `<part>_<scope>`; a scope is a condition on the rows.
+
+    Rows are first summed by destination, which a hot source repeats most; a distinct count then sees each destination once.
+    """
+    out, inn, flags = F.col("outbound"), F.col("inbound"), F.col("tcp_flags")
+    tests = {"packets": F.lit(True)} | {k: f(out, inn, flags) for k, f in _FLAGGED.items()}
+    sums = {f"{k}_{s}": F.count_if(c & t) for s, c in scopes.items() for k, t in tests.items()}
+    seen = {f"__seen_{s}": F.max(c & out) for s, c in scopes.items()}
+    first = rows.groupBy(*keys, "dst_ip", "dst_port").agg(*[v.alias(k) for k, v in (sums | seen).items()])
+    unique = []
+    for s in scopes:
+        there = F.col(f"__seen_{s}")
+        values = (F.count_distinct(F.when(there, F.col("dst_ip"))), F.count_distinct(F.when(there, F.col("dst_port"))), F.count_if(there))
+        unique += [v.alias(f"{u}_{s}") for u, v in zip(_UNIQUE, values, strict=True)]
+    return first.groupBy(*keys).agg(*[F.sum(k).alias(k) for k in sums], *unique)
+
+
+def _day_counts(cohort: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """Counts of each source and protocol of the cohort over the whole day (scope 24h), once for each source."""
+    keys = ["context_source_ip", "protocol"]
+    joined = cohort.select(*keys).distinct().join(endpoints.select(*_EVENT), keys, "left")
+    return _counted(joined, keys, {"24h": F.col("timestamp").isNotNull()})
+
+
+def _window_counts(cohort: DataFrame, endpoints: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """Counts of each flow's source around its interval (scopes window_Ns); flows without packets there are absent.
+
+    Flows and packets meet by source and time bucket, which bounds what one hot source brings together; each window is then
+    compared exactly. All windows share the widest one's join.
+    """
+    start, end, t = F.col("target_start_time"), F.col("target_end_time"), F.col("timestamp")
+    widest = max(windows)
+    bucket = lambda x: F.floor(x / BUCKET)
+    flows = cohort.select("target_flow_id", "context_source_ip", "protocol", "target_start_time", "target_end_time").where(start - widest <= end + widest)
+    probes = flows.withColumn("bucket", F.explode(F.sequence(bucket(start - widest), bucket(end + widest))))
+    events = endpoints.select(*_EVENT, bucket(t).alias("bucket"))
+    inside = {n: (t >= start - n) & (t <= end + n) for n in windows}
+    met = probes.join(events, ["context_source_ip", "protocol", "bucket"]).where(inside[widest])
+    return _counted(met, ["target_flow_id"], {f"window_{n}s": c for n, c in inside.items()})
+
+
+def _named(protocol: int, scope: str, suffix: str = "") -> list[Column]:
+    parts = zip(METRICS[protocol], _PARTS[protocol], strict=True)
+    return [F.coalesce(F.col(f"{part}_{scope}"), F.lit(0)).alias(f"{name}{suffix}") for name, part in parts]
 
 
 def _of(protocol: int, df: DataFrame) -> DataFrame:
@@ -73,39 +124,28 @@ def _of(protocol: int, df: DataFrame) -> DataFrame:
 
 
 def source_day(cohort: DataFrame, endpoints: DataFrame, protocol: int) -> DataFrame:
-    """Counts of each source of the protocol's cohort flows over the whole day, once for each source."""
-    sources = _of(protocol, cohort).select("context_source_ip").distinct()
-    columns = ("context_source_ip", "timestamp", "tcp_flags", "outbound", "inbound", "dst_ip", "dst_port")
-    joined = sources.join(_of(protocol, endpoints).select(*columns), "context_source_ip", "left")
-    return joined.groupBy("context_source_ip").agg(*_source_aggregates(protocol))
+    """Counts of each source of the protocol's cohort flows over the whole day."""
+    return _day_counts(_of(protocol, cohort), endpoints).select("context_source_ip", *_named(protocol, "24h"))
 
 
 def source_window(cohort: DataFrame, endpoints: DataFrame, protocol: int, seconds: int) -> DataFrame:
-    """Counts of each cohort flow's source within `seconds` of its interval, the interval included.
-
-    Flows and packets meet by source and time bucket, which bounds what one hot source brings together; the window itself is
-    compared exactly. A flow without packets in its window has zeros.
-    """
-    low, high = F.col("target_start_time") - seconds, F.col("target_end_time") + seconds
-    flows = _of(protocol, cohort).select("target_flow_id", "context_source_ip", low.alias("low"), high.alias("high")).where("low <= high")
-    bucket = lambda t: F.floor(F.col(t) / BUCKET)
-    probes = flows.withColumn("bucket", F.explode(F.sequence(bucket("low"), bucket("high"))))
-    columns = ("context_source_ip", "timestamp", "tcp_flags", "outbound", "inbound", "dst_ip", "dst_port")
-    events = _of(protocol, endpoints).select(*columns, bucket("timestamp").alias("bucket"))
-    met = probes.join(events, ["context_source_ip", "bucket"]).where("timestamp >= low and timestamp <= high")
-    found = met.groupBy("target_flow_id").agg(*_source_aggregates(protocol))
-    every = _of(protocol, cohort).select("target_flow_id").join(found, "target_flow_id", "left")
-    return every.select("target_flow_id", *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in METRICS[protocol]])
+    """Counts of each cohort flow's source within `seconds` of its interval, the interval included; zeros where there is none."""
+    flows = _of(protocol, cohort)
+    found = flows.select("target_flow_id").join(_window_counts(flows, endpoints, (seconds,)), "target_flow_id", "left")
+    return found.select("target_flow_id", *_named(protocol, f"window_{seconds}s"))
 
 
 def context_table(cohort: DataFrame, targets: DataFrame, endpoints: DataFrame) -> DataFrame:
     """The whole result: 13 columns of the cohort, 16 of the tuple, 42 of the source; counts of the other protocol are 0."""
-    out = cohort.select(*COHORT_RESULT_COLUMNS).join(tuple_metrics(cohort, targets), "target_flow_id", "left")
-    for protocol in (TCP, UDP):
-        for horizon, seconds in zip(HORIZONS, (None, *WINDOWS), strict=True):
-            key = "context_source_ip" if seconds is None else "target_flow_id"
-            found = source_day(cohort, endpoints, protocol) if seconds is None else source_window(cohort, endpoints, protocol, seconds)
-            names = {m: f"{m}_{horizon}" for m in METRICS[protocol]}
-            found = found.select(key, F.lit(protocol).alias("protocol"), *[F.col(m).alias(n) for m, n in names.items()])
-            out = out.join(found, [key, "protocol"], "left").fillna(0, [*names.values()])
-    return out.select(*RESULT_COLUMNS)
+    joined = (
+        cohort.select(*COHORT_RESULT_COLUMNS)
+        .join(tuple_metrics(cohort, targets), "target_flow_id", "left")
+        .join(_day_counts(cohort, endpoints), ["context_source_ip", "protocol"], "left")
+        .join(_window_counts(cohort, endpoints, WINDOWS), "target_flow_id", "left")
+    )
+    counts = []
+    for p in (TCP, UDP):
+        for h in HORIZONS:
+            for name, part in zip(METRICS[p], _PARTS[p], strict=True):
+                counts.append(F.when(F.col("protocol") == p, F.coalesce(F.col(f"{part}_{h}"), F.lit(0))).otherwise(0).alias(f"{name}_{h}"))
+    return joined.select(*COHORT_RESULT_COLUMNS, *TUPLE_COLUMNS, *counts)
