@@ -22,7 +22,7 @@ from ..functions.keys import TCP
 from ..operators.cohort import COHORT_COLUMNS, checked_counts, select_cohort
 from ..operators.flows import FLOW_COLUMNS, flow_table
 from ..operators.routing import retain_source_context, route_to_targets
-from ..plans.calendar import checked_chunk, checked_day, chunk_ids, chunk_url
+from ..plans.calendar import checked_chunk, checked_day, chunk_ids
 from ..sources import capture
 from . import store
 from .acquire import RawSource, Spool, download
@@ -163,7 +163,7 @@ def _previous(options: ExtractOptions) -> dict[str, Any] | None:
     return dm
 
 
-def run(spark: SparkSession, options: ExtractOptions, resolve: Callable[[str, str], str] = chunk_url, keep_raw: bool = False) -> Path:
+def run(spark: SparkSession, options: ExtractOptions, resolve: Callable[[str, str], str], keep_raw: bool = False) -> Path:
     """Extract a day, or what an earlier run left. `resolve` gives a chunk's URL (file: URLs work too)."""
     root, spool = options.dataset_root, Spool(options.spool_root)
     previous = _previous(options)

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNKS = 96
-#: Fixed address of the public captures.
-URL = "https://mawi.nezu.wide.ad.jp/mawi/ditl/ditl{year}/{chunk}.pcap.gz"
 
 
 def checked_day(value: str) -> str:
@@ -30,8 +28,10 @@ def checked_chunk(day: str, chunk: str) -> str:
     return chunk
 
 
-def chunk_url(day: str, chunk: str) -> str:
-    return URL.format(year=checked_day(day)[:4], chunk=checked_chunk(day, chunk))
+def chunk_url(day: str, chunk: str, template: str) -> str:
+    """Address of a chunk's capture: the template with {year}, {day} (YYYYMMDD) and {chunk} filled in."""
+    plain = checked_day(day).replace("-", "")
+    return template.format(year=plain[:4], day=plain, chunk=checked_chunk(day, chunk))
 
 
 def calendar(spark: SparkSession, day: str) -> DataFrame:
