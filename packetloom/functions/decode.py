@@ -174,3 +174,16 @@ def decode(frames: pa.Array, captured: np.ndarray, original: np.ndarray) -> dict
     names = np.array([*REASONS, ""], object)
     out["skip_reason"] = pa.array(names[f.reason].tolist(), pa.string(), mask=ok)
     return out
+
+
+def decode_table(frames):
+    """Facts of a table of (packet_index, frame, captured_frame_length, original_frame_length), in Arrow batches."""
+    kinds = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+    schema = ", ".join(["packet_index long", *(f"{name} {kinds[kind]}" for name, kind in FACTS.items())])
+
+    def run(batches):
+        for batch in batches:
+            lengths = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("captured_frame_length", "original_frame_length")]
+            yield pa.RecordBatch.from_pydict({"packet_index": batch.column("packet_index"), **decode(batch.column("frame"), *lengths)})
+
+    return frames.select("packet_index", "frame", "captured_frame_length", "original_frame_length").mapInArrow(run, schema)

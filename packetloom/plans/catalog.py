@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.decode import decode_table
 from ..functions.keys import KEY, TCP, UDP, with_key
 from ..operators import cohort as co
 from ..operators import context as cx
@@ -68,6 +69,7 @@ def context_result(spark: SparkSession, d: str) -> DataFrame:
 
 _SYN_PORTS = ("initial_syn_sender_port", "initial_syn_receiver_port")
 _PACKET = ("packet_index", "timestamp", "protocol", "src_ip", "src_port", "dst_ip", "dst_port", "tcp_flags")
+_DECODED = ("ip_version", "protocol", "src_ip", "src_port", "dst_ip", "dst_port", "transport_payload_length", "tcp_flags")
 _LENGTHS = ("captured_frame_length", "original_frame_length", "ip_total_length", "transport_payload_length")
 _PARTITION, _NEIGHBOURS, _HORIZON = cx.TUPLE_COLUMNS[:4], cx.TUPLE_COLUMNS[4:8], cx.TUPLE_COLUMNS[8:]
 
@@ -131,6 +133,8 @@ def _ports_as_text(df: DataFrame) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "chunk_calendar": lambda spark, d: calendar(spark, standin.DAY),
     "bidirectional_key": bidirectional_key,
+    "packet_decode": lambda spark, d: decode_table(standin.frames(_packets(spark, d))).where("skip_reason is null").select("packet_index", *_DECODED),
+    "skip_counts": lambda spark, d: decode_table(standin.frames(_packets(spark, d))).where("skip_reason is not null").groupBy("skip_reason").agg(F.count("*").alias("n")),
     "flow_table": lambda spark, d: fl.flow_table(_target(spark, d)).select(*(c for c in fl.FLOW_COLUMNS if not c.startswith("initial_syn"))),
     "flow_initial_syn": lambda spark, d: _ports_as_text(fl.flow_table(_target(spark, d)).select("flow_id", *fl.FLOW_COLUMNS[15:])),
     "flow_counts": flow_counts,
@@ -269,6 +273,8 @@ CAST({standin.BASE_US // 1_000_000} + 900 * k AS BIGINT) AS start_time FROM rang
         name: f"{_STEPS} {sql}"
         for name, sql in {
             "bidirectional_key": "SELECT packet_index, protocol, key_a[1] AS a_addr, key_a[2] AS a_port, key_b[1] AS b_addr, key_b[2] AS b_port FROM keyed",
+            "packet_decode": f"SELECT packet_index, {', '.join(_DECODED)} FROM packets WHERE {standin.SKIPS_SQL} IS NULL",
+            "skip_counts": f"SELECT {standin.SKIPS_SQL} AS skip_reason, count(*) AS n FROM packets WHERE {standin.SKIPS_SQL} IS NOT NULL GROUP BY 1",
             "flow_table": f"SELECT {_FLOW_FIELDS} FROM flows",
             "flow_initial_syn": f"SELECT flow_id, {_text(fl.FLOW_COLUMNS[15:])} FROM flows",
             "flow_counts": "SELECT packet_count, count(*) AS flows FROM flows GROUP BY packet_count",

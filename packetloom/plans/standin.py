@@ -50,6 +50,26 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def frames(packets: DataFrame) -> DataFrame:
+    """Ethernet frames of the packets, cut after the transport header; some are made undecodable (see SKIPS_SQL)."""
+    number = lambda c, size: F.lpad(F.hex(c.cast("long")), 2 * size, "0")
+    tcp = F.col("protocol") == 6
+    header = F.when(tcp, 20).otherwise(8)
+    total = 20 + header + F.col("transport_payload_length")
+    address = lambda c: F.concat(F.lit("0A00"), number(F.col(c), 2))
+    arp, fragment, icmp = (F.col("packet_index") % n == 0 for n in (53, 51, 50))
+    ports = F.concat(number(F.col("src_port"), 2), number(F.col("dst_port"), 2))
+    body = F.when(tcp, F.concat(ports, F.lit("00" * 8 + "50"), number(F.col("tcp_flags"), 1), F.lit("00" * 6))).otherwise(
+        F.concat(ports, number(8 + F.col("transport_payload_length"), 2), F.lit("0000"))
+    )
+    text = F.concat(
+        F.lit("00" * 12), F.when(arp, "0806").otherwise("0800"), F.lit("4500"), number(total, 2), F.lit("0000"), F.when(fragment, "2000").otherwise("4000"), F.lit("40"),
+        F.when(icmp, "01").otherwise(number(F.col("protocol"), 1)), F.lit("0000"), address("src_addr"), address("dst_addr"), body,
+    )
+    return packets.select("packet_index", F.unhex(text).alias("frame"), (34 + header).cast("long").alias("captured_frame_length"), (14 + total).alias("original_frame_length"))
+
+
+SKIPS_SQL = "CASE WHEN packet_index % 53 = 0 THEN 'non_ip' WHEN packet_index % 51 = 0 THEN 'ip_fragment' WHEN packet_index % 50 = 0 THEN 'non_tcp_udp' END"
 PACKETS_SQL = f"""
 e0 AS (
   SELECT event_id, user_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k,
