@@ -28,6 +28,8 @@ from . import tokens as tk
 
 #: Most labelled rows that a classifier is fitted on.
 SAMPLE = 5000
+#: Bytes of their text that the driver works on at once.
+SAMPLE_SLICE = 1 << 20
 WORD_SLOTS, CHAR_SLOTS = 1 << 18, 1 << 10
 WORD_SCALE, CHAR_SCALE = 15.0, 60.0
 #: Bytes of the n-grams at the beginnings of words.
@@ -153,7 +155,7 @@ class Sample:
     def of(cls, batches: list[pa.RecordBatch]) -> Sample:
         n, texts, slots, values, shares = 0, [], [], [], []
         for batch in batches:
-            for part, some in tk.slices(batch):
+            for part, some in tk.slices(batch, limit=SAMPLE_SLICE):
                 text, slot, bounds, grams = features(some)
                 texts.append((text + n).astype(np.int32))
                 slots.append(slot.astype(np.int32))
