@@ -36,6 +36,8 @@ WORD_SCALE, CHAR_SCALE = 15.0, 60.0
 HEADS = (4, 5)
 #: A word feature has a weight when so many documents of the sample have it.
 MIN_DOCS = 3
+#: A word feature enters a head when the log of how much more often one class has it is so large, either way.
+MIN_RATIO = 1.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 KEEP_QUALITY, DROP_TOXIC = 0.5, 0.5
 
@@ -183,7 +185,11 @@ def fit_head(sample: Sample, label: np.ndarray, held: np.ndarray, steps: int = 3
     ups = np.bincount(inner[train], label[text[train]], len(live)) + 1
     downs = np.bincount(inner[train], 1 - label[text[train]], len(live)) + 1
     ratio = np.log((ups / (label[~held].sum() + 2)) / (downs / ((1 - label[~held]).sum() + 2)))
-    value = value * ratio[inner].astype(np.float32)
+    telling = np.abs(ratio) >= MIN_RATIO
+    told = telling[inner]
+    text, inner = text[told], (np.cumsum(telling) - 1).astype(np.int32)[inner[told]]
+    live, ratio = live[telling], ratio[telling]
+    value = value[told] * ratio[inner].astype(np.float32)
     w, c, bias = np.zeros(len(live)), np.zeros(CHAR_SLOTS, np.float32), np.zeros(1)
     use, m = (~held).astype(float), float((~held).sum())
     raw = lambda: np.bincount(text, w[inner] * value, n) + CHAR_SCALE * (shares @ c) + bias[0]
