@@ -64,7 +64,10 @@ def _window(protocol: int, seconds: int) -> Query:
 
 
 def context_result(spark: SparkSession, d: str) -> DataFrame:
-    return cx.context_table(_cohort(spark, d), _routed(spark, d), _endpoints(spark, d))
+    """The whole result. The cohort is kept, since every part of it starts there; a dataset has it as a table."""
+    packets, cohort = _packets(spark, d), _cohort(spark, d).persist()
+    endpoints = ro.expand_endpoints(ro.retain_source_context(packets, cohort))
+    return cx.context_table(cohort, ro.route_to_targets(packets, cohort), endpoints)
 
 
 _SYN_PORTS = ("initial_syn_sender_port", "initial_syn_receiver_port")
