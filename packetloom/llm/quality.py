@@ -6,8 +6,8 @@ calibrated by Platt scaling on a held-out quarter of it, and scored in Arrow bat
 document is kept when no rule fails, the quality probability is at least KEEP_QUALITY, and the toxic probability is
 below DROP_TOXIC.
 
-Features of a text: the set of its hashed words (A-Z lower-cased runs of letters, digits and non-ASCII bytes) and of the
-n-grams that they begin with, which catch the inflections of a stem; and the shares of its hashed byte trigrams.
+Features of a text: the set of its hashed words (A-Z lower-cased runs of letters, digits and non-ASCII bytes), of their
+bigrams and of the n-grams that words begin with, which catch the inflections of a stem; and the shares of its hashed byte trigrams.
 
 Defined cases: a null or wordless text has no words, so it fails the rules; equal rows are judged alike; label rows
 with a null are not used; a document with several label rows counts once for each; without rows of both classes a head gives its
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import tokens as tk
 
 #: Most labelled rows that a classifier is fitted on.
-SAMPLE = 5000
+SAMPLE = 6000
 #: Bytes of their text that the driver works on at once.
 SAMPLE_SLICE = 1 << 20
 WORD_SLOTS, CHAR_SLOTS = 1 << 18, 1 << 10
@@ -43,6 +43,7 @@ KEEP_QUALITY, DROP_TOXIC = 0.5, 0.5
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
+_PAIR = 0x8EBC6AF09C88C6E3
 
 
 def _per_text(marks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -100,7 +101,8 @@ def features(texts: tk.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     who = tk.owner(first)
     sums = texts.sums(lower=True)
     hashes = [tk.mix(tk.span_hashes(sums, tk.BASE_BYTES, starts, np.minimum(starts + size, ends)) + np.uint64(size)) for size in (*HEADS, 1 << 32)]
-    both = np.unique(np.concatenate([(who.astype(np.uint64) << np.uint64(18)) | (h >> np.uint64(46)) for h in hashes]))
+    at, pairs = tk.windows(hashes[-1], first, 2, _PAIR)
+    both = np.unique(np.concatenate([(w.astype(np.uint64) << np.uint64(18)) | (h >> np.uint64(46)) for w, h in [*((who, h) for h in hashes), (who[at], pairs)]]))
     text, slot = (both >> np.uint64(18)).astype(np.int64), (both & np.uint64(WORD_SLOTS - 1)).astype(np.int64)
     b = texts.buf.astype(np.uint32)
     grams = (b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA77) ^ b[2:] * np.uint32(0xC2B2AE3D)) if len(b) > 2 else np.zeros(0, np.uint32)
@@ -116,6 +118,14 @@ def word_scale(text: np.ndarray, n: int) -> np.ndarray:
     return WORD_SCALE / np.sqrt(np.maximum(np.bincount(text, minlength=n), 1))
 
 
+def sums_between(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of values[bounds[k]:bounds[k+1]]."""
+    out, some = np.zeros(len(bounds) - 1), bounds[1:] > bounds[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(values, bounds[:-1][some], dtype=np.float64)
+    return out
+
+
 @dataclass
 class Head:
     """One calibrated logistic regression."""
@@ -145,58 +155,69 @@ def _adam(params: list[np.ndarray], gradient, steps: int, rate: float) -> None:
 
 @dataclass
 class Sample:
-    """Features of labelled documents; word features that few of them have are left out."""
+    """Features of labelled documents; word features that few of them have are left out.
+
+    Word features are kept twice, in the order of texts and in that of slots, without values: those are of a text or of a slot.
+    """
 
     n: int
-    text: np.ndarray
-    slot: np.ndarray
-    value: np.ndarray
+    live: np.ndarray
+    by_text: np.ndarray
+    text_bounds: np.ndarray
+    by_slot: np.ndarray
+    slot_bounds: np.ndarray
+    scale: np.ndarray
     shares: np.ndarray
 
     @classmethod
     def of(cls, batches: list[pa.RecordBatch]) -> Sample:
-        n, texts, slots, values, shares = 0, [], [], [], []
+        n, often, slots, scales, shares = 0, [], [], [], []
         for batch in batches:
             for part, some in tk.slices(batch, limit=SAMPLE_SLICE):
                 text, slot, bounds, grams = features(some)
-                texts.append((text + n).astype(np.int32))
+                often.append(np.bincount(text, minlength=part.num_rows))
                 slots.append(slot.astype(np.int32))
-                values.append(word_scale(text, part.num_rows)[text].astype(np.float32))
+                scales.append(word_scale(text, part.num_rows))
                 for a, b in bounds.T.tolist():
                     shares.append(np.bincount(grams[a:b], minlength=CHAR_SLOTS).astype(np.float32) / max(b - a, 1))
                 n += part.num_rows
-        if not n:
-            return cls(0, *(np.zeros(0, t) for t in (np.int32, np.int32, np.float32)), np.zeros((0, CHAR_SLOTS), np.float32))
-        common = np.bincount(np.concatenate(slots), minlength=WORD_SLOTS) >= MIN_DOCS
-        keep = [common[x] for x in slots]
-        return cls(n, *(np.concatenate([x[k] for x, k in zip(xs, keep, strict=True)]) for xs in (texts, slots, values)), np.stack(shares))
+        total = sum((np.bincount(x, minlength=WORD_SLOTS) for x in slots), np.zeros(WORD_SLOTS, np.int64))
+        common = total >= MIN_DOCS
+        live = np.flatnonzero(common)
+        rank = (np.cumsum(common) - 1).astype(np.int32)
+        texts, kept, a = [], [], 0
+        while slots:
+            slot, k = slots.pop(0), often.pop(0)
+            keep = common[slot]
+            texts.append(np.repeat(np.arange(a, a + len(k), dtype=np.int32), k)[keep])
+            kept.append(rank[slot[keep]])
+            a += len(k)
+        text, by_text = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (texts, kept))
+        del texts, kept
+        text_bounds = np.searchsorted(text, np.arange(n + 1, dtype=np.int32))
+        by_slot = text[np.argsort(by_text, kind="stable")]
+        slot_bounds = np.concatenate([[0], np.cumsum(total[live])])
+        return cls(n, live, by_text, text_bounds, by_slot, slot_bounds, np.concatenate([np.zeros(0), *scales]), np.stack(shares) if n else np.zeros((0, CHAR_SLOTS), np.float32))
 
 
 def fit_head(sample: Sample, label: np.ndarray, held: np.ndarray, steps: int = 300, l2: float = 1e-3) -> Head:
     """Weights from the rows that aren't held out, Platt scaling from those that are."""
-    n, text, value, shares = sample.n, sample.text, sample.value, sample.shares
+    n, live, scale, shares = sample.n, sample.live, sample.scale, sample.shares
     base = float(np.clip(label.mean() if n else 0.5, 0.01, 0.99))
     if n == 0 or label[~held].min(initial=1) == label[~held].max(initial=0):
         return Head(np.zeros(WORD_SLOTS, np.float32), np.zeros(CHAR_SLOTS, np.float32), 0.0, float(np.log(base / (1 - base))))
-    live, inner = np.unique(sample.slot, return_inverse=True)
-    inner = inner.astype(np.int32)
     # Each word feature is scaled by how much more often one class has it (a naive Bayes log ratio), which mutes the many that tell nothing.
-    train = ~held[text]
-    ups = np.bincount(inner[train], label[text[train]], len(live)) + 1
-    downs = np.bincount(inner[train], 1 - label[text[train]], len(live)) + 1
+    of_slots = lambda x: sums_between(x[sample.by_slot], sample.slot_bounds)
+    ups, downs = of_slots(label * ~held) + 1, of_slots((1 - label) * ~held) + 1
     ratio = np.log((ups / (label[~held].sum() + 2)) / (downs / ((1 - label[~held]).sum() + 2)))
-    telling = np.abs(ratio) >= MIN_RATIO
-    told = telling[inner]
-    text, inner = text[told], (np.cumsum(telling) - 1).astype(np.int32)[inner[told]]
-    live, ratio = live[telling], ratio[telling]
-    value = value[told] * ratio[inner].astype(np.float32)
+    ratio[np.abs(ratio) < MIN_RATIO] = 0
     w, c, bias = np.zeros(len(live)), np.zeros(CHAR_SLOTS, np.float32), np.zeros(1)
     use, m = (~held).astype(float), float((~held).sum())
-    raw = lambda: np.bincount(text, w[inner] * value, n) + CHAR_SCALE * (shares @ c) + bias[0]
+    raw = lambda: scale * sums_between((w * ratio).astype(np.float32)[sample.by_text], sample.text_bounds) + CHAR_SCALE * (shares @ c) + bias[0]
 
     def gradient():
         r = (1 / (1 + np.exp(-np.clip(raw(), -40, 40))) - label) * use / m
-        return [np.bincount(inner, r[text] * value, len(live)) + l2 * w, CHAR_SCALE * (r.astype(np.float32) @ shares) + l2 * c, np.array([r.sum()])]
+        return [ratio * of_slots((r * scale).astype(np.float32)) + l2 * w, CHAR_SCALE * (r.astype(np.float32) @ shares) + l2 * c, np.array([r.sum()])]
 
     _adam([w, c, bias], gradient, steps, 0.05)
     z = raw()

@@ -89,3 +89,29 @@ def test_keep_returns_whole_rows(spark):
     kept = quality.keep(df, label)
     assert kept.columns == df.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.judge(df, label).collect() if r.kept}
+
+
+def bits(k):
+    """A word of nine letters, each of two."""
+    return "".join("ab"[k >> i & 1] for i in range(9))
+
+
+def toxic_accuracy(texts, toxic, n_train):
+    """Share of the later texts whose toxic probability is on the right side, after fitting on the earlier ones."""
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    label = np.array(toxic, float)
+    head = quality.fit_head(quality.Sample.of([batch.slice(0, n_train)]), label[:n_train], np.arange(n_train) % 4 == 3)
+    some = tk.texts_of(batch.slice(n_train).column("text"))
+    found = head.probability(head.raw(len(texts) - n_train, *quality.features(some)))
+    return np.mean((found >= 0.5) == label[n_train:])
+
+
+def test_phrases_of_ordinary_words_tell():
+    """Both classes hold the same words and differ in which of them are neighbours."""
+    rng = np.random.default_rng(8)
+    texts, toxic = [], [k % 2 for k in range(1000)]
+    for bad in toxic:
+        pairs = rng.choice(30, 12, replace=False)
+        after = pairs if bad else np.roll(pairs, 1)
+        texts.append(" ".join(f"{bits(a)} {bits(100 + b)} {bits(200 + rng.integers(0, 300))}" for a, b in zip(pairs, after, strict=True)))
+    assert toxic_accuracy(texts, toxic, 750) > 0.95
