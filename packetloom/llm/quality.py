@@ -36,8 +36,6 @@ WORD_SCALE, CHAR_SCALE = 15.0, 60.0
 HEADS = (4, 5)
 #: A word feature has a weight when so many documents of the sample have it.
 MIN_DOCS = 3
-#: A word feature enters a head when the log of how much more often one class has it is so large, either way.
-MIN_RATIO = 1.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 KEEP_QUALITY, DROP_TOXIC = 0.5, 0.5
 
@@ -210,7 +208,6 @@ def fit_head(sample: Sample, label: np.ndarray, held: np.ndarray, steps: int = 3
     of_slots = lambda x: sums_between(x[sample.by_slot], sample.slot_bounds)
     ups, downs = of_slots(label * ~held) + 1, of_slots((1 - label) * ~held) + 1
     ratio = np.log((ups / (label[~held].sum() + 2)) / (downs / ((1 - label[~held]).sum() + 2)))
-    ratio[np.abs(ratio) < MIN_RATIO] = 0
     w, c, bias = np.zeros(len(live)), np.zeros(CHAR_SLOTS, np.float32), np.zeros(1)
     use, m = (~held).astype(float), float((~held).sum())
     raw = lambda: scale * sums_between((w * ratio).astype(np.float32)[sample.by_text], sample.text_bounds) + CHAR_SCALE * (shares @ c) + bias[0]

@@ -115,3 +115,13 @@ def test_phrases_of_ordinary_words_tell():
         after = pairs if bad else np.roll(pairs, 1)
         texts.append(" ".join(f"{bits(a)} {bits(100 + b)} {bits(200 + rng.integers(0, 300))}" for a, b in zip(pairs, after, strict=True)))
     assert toxic_accuracy(texts, toxic, 750) > 0.95
+
+
+def test_many_moderately_telling_words():
+    """Words of an even number of b's are twice as likely in one class, the others in the other; no n-gram of letters tells."""
+    rng = np.random.default_rng(9)
+    sides = [[bits(k) for k in range(512) if k.bit_count() % 2 == side] for side in (0, 1)]
+    texts, toxic = [], [k % 2 for k in range(1400)]
+    for bad in toxic:
+        texts.append(" ".join(sides[bad if rng.random() < 2 / 3 else 1 - bad][rng.integers(0, 256)] for _ in range(100)))
+    assert toxic_accuracy(texts, toxic, 1000) > 0.9
