@@ -1,12 +1,12 @@
-"""Near-duplicate documents: an n-gram Jaccard join through a MinHash LSH forest.
+"""Near-duplicate documents: an n-gram Jaccard join through banded MinHash LSH.
 
 A document is the set of its shingles of five words (A-Z lower-cased); a text of fewer words, but not none, is one
-shingle. Each of TREES tries holds the documents by a signature of DEPTH min-hashes. Documents that share a trie
-node at some depth are candidates. Matching starts with whole signatures and shortens the prefix level by level, until a pair at
-the threshold meets in some trie with the target recall; the trie node at that depth is a hash of the prefix, which
-Spark groups by.
+shingle. Each of TREES bands is a prefix of at most DEPTH min-hashes, of one length for all documents: the longest with which a
+pair at the threshold meets in some band with the target recall, by arithmetic on the constants. Documents that share a
+hash of such a prefix are candidates; Spark groups by it. Longer common prefixes are among these, so an LSH forest (sorted tries,
+descended level by level) that ends at this length has no further candidates.
 
-Documents with equal sets are one node, by a 64-bit fingerprint. Nodes that share a trie node are linked to its
+Documents with equal sets are one node, by a 64-bit fingerprint. Nodes that share a prefix are linked to its
 smallest; the components of these links are the groups within which sets are compared exactly, in blocks of at most
 BLOCK by BLOCK nodes, without a row for each pair. A block gives each node's number of links and the smallest node
 that its links reach. The components of those are the classes.
