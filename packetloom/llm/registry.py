@@ -67,11 +67,11 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decontam.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return judged.select(
         "doc_id",
-        F.col("__n_words").alias("n_words"),
-        F.col("__n_hit").alias("n_hit"),
-        F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
-        F.col("__contaminated").alias("contaminated"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
     )
 
 

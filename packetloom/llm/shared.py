@@ -13,6 +13,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: What a null doc_id counts as where documents are ordered: it comes before all others.
+NULL_KEY = -(1 << 63)
+
 _own_dir: dict[str, str] = {}
 
 
@@ -21,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir, else (tests) one of our own."""
+    """The folder that all executors share: the session's spark.checkpoint.dir, else one of our own, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="packetloom-")
@@ -39,19 +44,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder below the shared one, through the file system that holds it."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def key_of(doc_id: Column) -> Column:
+    return F.coalesce(doc_id, F.lit(NULL_KEY)).cast("long")
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+def mark_of(doc_id: Column, text: Column) -> Column:
+    """128 bits of SHA-256 of a text (null as the empty one), for a null doc_id others: with the key what tells documents apart."""
+    return F.unhex(F.substring(F.sha2(F.concat(F.when(doc_id.isNull(), "-").otherwise("+"), F.coalesce(text, F.lit(""))), 256), 1, 32))
+
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key, mark): rows with equal key and mark hold the same document."""
+    return docs.select("doc_id", "text", key_of(F.col("doc_id")).alias("key"), mark_of(F.col("doc_id"), F.col("text")).alias("mark"))
 
-def word_array(text: Column, space: str = SPACE) -> Column:
-    """Words of a text in order; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), space), lambda w: w != "")
+
+def ascii_lower(text: Column) -> Column:
+    """A-Z lower-cased, nothing else; texts of ASCII alone take the faster function."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def word_count(text: Column) -> Column:
