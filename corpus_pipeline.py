@@ -8,7 +8,6 @@ pass through; names that begin with two underscores are the stages' own.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from packetloom.llm import decontam, mixing, near_dup, quality, sharding
 from packetloom.llm.registry import SHARDS, mix_levels, with_domain
@@ -30,8 +29,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold benchmark passages."""
-    judged = decontam.judge(docs, table(spark, sf_dir, "benchmark"))
-    return judged.where(~F.col("__contaminated")).select(*docs.columns)
+    return decontam.keep(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
