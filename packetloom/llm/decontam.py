@@ -88,7 +88,7 @@ def pass_table(hashes: DataFrame) -> bytes:
 def places(docs: DataFrame, parts: DataFrame) -> DataFrame:
     """A row of each document (pos is -1) and one of each of its shingles that the items may hold: (doc_id, key, mark, n, pos, shingle)."""
     sizes = sorted(r.g for r in parts.select("g").distinct().collect())  # at most SHINGLE
-    lets = pass_table(parts.select("hash").distinct())
+    lets = pass_table(parts.select("hash"))
     on = F.lit(lets)
     marked = lambda slot: F.substring(on, slot + 1, 1) == F.lit(b"\x01")
 

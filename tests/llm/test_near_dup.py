@@ -55,6 +55,53 @@ def test_matches_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
+#: These two words, and texts that end alike after them, have one CRC-32.
+CLASH = ("plumless", "buckeroo")
+
+
+def test_texts_of_one_id_that_share_a_checksum(spark):
+    rows = [(None, CLASH[0]), (None, CLASH[1]), (7, CLASH[0]), (7, CLASH[1]), (8, CLASH[1])]
+    assert run(spark, rows) == brute(rows)
+    names = ["key", "mark", "row", "alone", "first", "node", "c0", "paths"]
+    df = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    kept = near_dup.dedup(df)
+    assert kept.columns == df.columns and {r.text for r in kept.collect()} == set(CLASH) and kept.count() == 2
+
+
+def test_the_prefix_is_shortened_until_the_recall_is_met(spark, monkeypatch):
+    seen = []
+    compared = near_dup._compared
+    monkeypatch.setattr(near_dup, "_compared", lambda *a: seen.append(a[-1]) or compared(*a))
+    far = corpus(11, 90)  # copies with up to three changes, many of them near the threshold
+    near = [(2000 + k, " ".join([*(f"v{x}" for x in range(300)), f"z{k}"])) for k in range(6)]
+    for rows, target, levels in ((near, 0.9995, [8]), (far, 0.999999, [8, 7, 6, 5])):
+        seen.clear()
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((tuple(r) for r in near_dup.classes(df, target=target).select("doc_id", "class_id", "n_links").collect()), key=str)
+        assert got == brute(rows) and seen == levels[: len(seen)] and (len(seen) > 1) == (rows is far)
+
+
+def test_recall_of_the_first_level(spark):
+    """Against brute force: links between texts at 0.8 to 0.9, found by whole paths alone."""
+    rng = np.random.default_rng(2)
+    assert near_dup.chance(0.8, near_dup.LEVELS) > 0.999
+    sets = [np.unique(rng.integers(0, 1 << 63, 120).astype(np.uint64)) for _ in range(300)]
+    other = [np.concatenate([s[:-12], rng.integers(0, 1 << 63, 12).astype(np.uint64)]) for s in sets]
+    both = [*sets, *other]
+    p = near_dup.paths(np.concatenate(both), np.concatenate([[0], np.cumsum([len(s) for s in both])]))
+    met = (p[:300] == p[300:]).any(axis=1).mean()
+    assert met > 0.98
+
+
+def test_runs_that_cross_partitions(spark):
+    """Every node of a prefix hangs together, wherever the sorted paths are cut."""
+    rng = np.random.default_rng(4)
+    nodes = [(int(k), [int(x) for x in rng.integers(0, 3, near_dup.TREES)]) for k in rng.permutation(60)]
+    met = near_dup.links(spark.createDataFrame(nodes, "node long, paths array<long>")).where(f"level >= {near_dup.LEVELS}")
+    label = {r.node: r.label for r in components.components(met.select("a", "b")).collect()}
+    assert len(label) == 60 and len(set(label.values())) == 1
+
+
 def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 3)
     rows = corpus(3, 60)
