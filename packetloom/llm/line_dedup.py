@@ -12,8 +12,9 @@ candidates by the same segments, verified by banded bit-parallel edit distance,
 near lines and the earliest place of them, not a row for each pair.
 
 Defined cases: a null text has no lines; equal rows get equal results; a null doc_id comes before all others; rows with
-the same doc_id are one document in the order, so neither is earlier than the other at the same line number. An empty table
-gives an empty result. Only doc_id and text are read, so further columns cannot clash.
+the same doc_id are one document in the order, so neither is earlier than the other at the same line number, but each has its own
+result by its text. A very long text is worked on alone, as an array of its code points. An empty table gives an empty
+result. Only doc_id and text are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -27,8 +28,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .components import components
-from .shared import buckets, cut
-from .substring_dedup import keyed
+from .shared import buckets, cut, keyed
 
 EDITS, MIN_CHARS = 2, 20
 BLOCK = 1024
@@ -299,7 +299,7 @@ def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
     """doc_id, n_lines, n_removed, n_links (near lines of its lines, other than equal ones) and removed_lines (numbers from 0)."""
     rows = keyed(docs)
     n = buckets(docs.sparkSession)
-    facts = cut(rows.mapInArrow(_facts, "doc_id long, key long, mark long, numbers array<int>, lines array<long>"), "line_facts")
+    facts = cut(rows.mapInArrow(_facts, "doc_id long, key long, mark binary, numbers array<int>, lines array<long>"), "line_facts")
     once = facts.dropDuplicates(["key", "mark"])
     seen = once.select("key", "mark", F.explode(F.arrays_zip("numbers", "lines")).alias("l")).select("key", "mark", F.col("l.numbers").alias("number"), F.col("l.lines").alias("node"))
     lines = seen.groupBy("node").agg(F.min(F.struct("key", "number", "mark")).alias("first"))

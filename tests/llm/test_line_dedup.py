@@ -108,5 +108,17 @@ def test_blocks(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_texts_of_one_id_that_share_a_checksum(spark):
+    rows = [(5, "plumless\nbuckeroo"), (8, "plumless"), (8, "buckeroo"), (9, "buckeroo"), (None, "plumless"), (None, "buckeroo"), (10, "plumless\nnew")]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_columns_named_like_internal_ones(spark):
+    rows = corpus()[:20]
+    names = ["key", "mark", "node", "lines", "numbers", "label", "n_removed", "links", "a", "b"]
+    df = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    assert sorted((tuple(r) for r in ld.dedup(df).collect()), key=str) == brute(rows)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
