@@ -6,10 +6,12 @@ dealt to buckets by a second, independent hash; each bucket finds hashes with an
 windows return to their documents, where they merge into maximal intervals of removed words.
 
 The two hashes together have 64 bits and those of the bucket's number. What moves is packed into arrays by bucket,
-about ten bytes for each window, and one frequent window is at most one entry for each chunk.
+about ten bytes for each window, and one frequent window is at most one entry for each chunk. A repeated window returns
+with its hash: a document takes it only where its own window has that hash, so that texts of one doc_id that happen to share
+a checksum (by which they are dealt) stay apart.
 
-Defined cases: a null text has no words; a text of fewer words than a window keeps them all; a null doc_id comes
-before all others; rows with the same doc_id are one document in the order, so neither is earlier than the other at
+Defined cases: a null text has no words; a text of fewer words than a window keeps them all; a very long text is worked on
+alone, as arrays of its words; a null doc_id comes before all others; rows with the same doc_id are one document in the order, so neither is earlier than the other at
 the same start; equal rows get equal results. An empty table gives an empty result. Only doc_id and text are read, so
 further columns cannot clash.
 """
@@ -26,9 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .shared import buckets
+from .shared import buckets, key_of
 
-NULL_KEY = -(1 << 63)
 #: Windows that a task gathers before it sends them on.
 CHUNK = 1_000_000
 #: Packed windows for a bucket, and packed starts for documents.
@@ -48,20 +49,20 @@ def _unplanes(data: bytes, kind: type, n: int) -> np.ndarray:
 
 
 def _pack(h: np.ndarray, key: np.ndarray, mark: np.ndarray, pos: np.ndarray) -> bytes:
-    """Entries in the order of documents and starts; h may be left out."""
+    """Entries in the order of documents and starts."""
     new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])]))
     counts = np.diff(np.append(new, len(key))).astype(np.uint32)
     step = np.diff(pos, prepend=0)
     step[new] = pos[new]
     return b"".join(
-        (np.array([len(h), len(key), len(new)], np.int64).tobytes(), h.tobytes(), _planes(step.astype(np.uint32)), _planes(key[new]), _planes(mark[new].astype(np.uint32)), _planes(counts))
+        (np.array([len(h), len(new)], np.int64).tobytes(), h.tobytes(), _planes(step.astype(np.uint32)), _planes(key[new]), _planes(mark[new].astype(np.uint32)), _planes(counts))
     )
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    hashes, n, m = np.frombuffer(data, np.int64, 3).tolist()
-    at, out = 24, []
-    for kind, k in ((np.uint64, hashes), (np.uint32, n), (np.int64, m), (np.uint32, m), (np.uint32, m)):
+    n, m = np.frombuffer(data, np.int64, 2).tolist()
+    at, out = 16, []
+    for kind, k in ((np.uint64, n), (np.uint32, n), (np.int64, m), (np.uint32, m), (np.uint32, m)):
         size = np.dtype(kind).itemsize * k
         out.append(np.frombuffer(data, kind, k, at) if kind is np.uint64 else _unplanes(data[at : at + size], kind, k))
         at += size
@@ -88,14 +89,14 @@ def _later(h: np.ndarray, key: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return out
 
 
-def _to_documents(kind: int, n: int, key: np.ndarray, mark: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _to_documents(kind: int, n: int, h: np.ndarray, key: np.ndarray, mark: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Starts packed by the place (of n) where their documents will be."""
     place = (key ^ mark) % n
     order = np.lexsort((pos, mark, key, place))
     ends = np.cumsum(np.bincount(place, minlength=n))
     for p in np.unique(place).tolist():
         at = order[ends[p - 1] if p else 0 : ends[p]]
-        data = _pack(np.zeros(0, np.uint64), key[at], mark[at], pos[at])
+        data = _pack(h[at], key[at], mark[at], pos[at])
         yield pa.RecordBatch.from_pydict({"kind": [kind], "place": [p], "data": [data]}, schema=_FOUND)
 
 
@@ -107,7 +108,7 @@ def _settled(size: int, n_buckets: int):
         order = np.lexsort((pos, mark, key))
         h, lane, key, mark, pos = h[order], lane[order], key[order], mark[order], pos[order]
         late = _later(h, key, pos)
-        yield from _to_documents(STARTS, n_buckets, key[late], mark[late], pos[late])
+        yield from _to_documents(STARTS, n_buckets, h[late], key[late], mark[late], pos[late])
         first = np.flatnonzero(~late)
         bucket = lane[first]
         order = first[np.argsort(bucket, kind="stable")]
@@ -152,7 +153,7 @@ def _resolved(n_buckets: int):
         for bucket in sorted(packed):
             h, key, mark, pos = (np.concatenate(x) for x in zip(*map(_unpack, packed.pop(bucket)), strict=True))
             late = _later(h, key, pos)
-            yield from _to_documents(STARTS, n_buckets, key[late], mark[late], pos[late])
+            yield from _to_documents(STARTS, n_buckets, h[late], key[late], mark[late], pos[late])
 
     return run
 
@@ -183,9 +184,10 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
     return found.repartitionById(n, "place").mapInArrow(_both(size, n), _FOUND_SQL).select("place", "data")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def _dealt(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key, mark): the mark only deals out the rows of one key."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", "text", F.coalesce(F.col("doc_id"), F.lit(NULL_KEY)).cast("long").alias("key"), F.crc32(text).cast("long").alias("mark"))
+    return docs.select("doc_id", "text", key_of(F.col("doc_id")).alias("key"), F.crc32(text).cast("long").alias("mark"))
 
 
 def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
@@ -197,22 +199,35 @@ def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
 
 
 def _starts_of(packed: list[bytes], size: int):
-    """Finds the starts for (key, mark) among packed ones."""
-    parts = [_unpack(x)[1:] for x in packed]
-    key, mark, pos = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+    """Finds the starts, and the hashes there, for (key, mark) among packed ones."""
+    parts = [_unpack(x) for x in packed]
+    h, key, mark, pos = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
     order = np.lexsort((mark, key))
-    key, mark, pos = key[order], mark[order], pos[order]
+    h, key, mark, pos = h[order], key[order], mark[order], pos[order]
     new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])])) if len(key) else np.zeros(0, np.int64)
     stop = np.append(new[1:], len(key))[: len(new)]
     at = dict(zip(zip(key[new].tolist(), mark[new].tolist(), strict=True), zip(new.tolist(), stop.tolist(), strict=True), strict=True))
 
-    def find(k: int, m: int) -> np.ndarray:
+    def find(k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
         a, b = at.get((k, m), (0, 0))
-        return pos[a:b]
+        return pos[a:b], h[a:b]
 
     return find
 
 
+def _own(texts: pa.Array, found: list[tuple[np.ndarray, np.ndarray]], size: int) -> list[np.ndarray]:
+    """For each text, of the starts found for it those where its window has the hash found."""
+    part = tk.texts_of(texts)
+    starts, ends, first = part.words()
+    _, hashes = tk.windows(part.hashes(starts, ends), first, size)
+    n = np.maximum(np.diff(first) - size + 1, 0)
+    out = []
+    for (pos, h), k, a in zip(found, n.tolist(), (np.cumsum(n) - n).tolist(), strict=True):
+        pos, h = pos[pos < k], h[pos < k]
+        out.append(pos[hashes[a + pos] == h])
+    return out
+
+
 def _kept(size: int):
     """Packed starts come first in a partition, then its documents."""
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.list_(pa.int32())))])
@@ -231,8 +246,11 @@ def _kept(size: int):
                 n = np.diff(first)
                 gone = np.zeros(len(starts), bool)
                 spans: list[list[list[int]]] = []
-                for k, (key, mark) in enumerate(zip(part.column("key").to_pylist(), part.column("mark").to_pylist(), strict=True)):
-                    at = find(key, mark)
+                found = [find(*x) for x in zip(part.column("key").to_pylist(), part.column("mark").to_pylist(), strict=True)]
+                some = [k for k, (pos, _) in enumerate(found) if len(pos)]
+                own = dict(zip(some, _own(part.column("text").take(pa.array(some, pa.int64())), [found[k] for k in some], size), strict=True)) if some else {}
+                for k in range(part.num_rows):
+                    at = own.get(k, ())
                     if len(at):
                         gone[first[k] : first[k + 1]] = hit = covered(int(n[k]), at, size)
                         spans.append(np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).reshape(-1, 2).tolist())
@@ -260,7 +278,7 @@ def _kept(size: int):
 
 def dedup(docs: DataFrame, size: int = 20) -> DataFrame:
     """For each document what is left: doc_id, n_words, n_removed, kept_sha256 and the removed intervals of words."""
-    rows = keyed(docs)
+    rows = _dealt(docs)
     n = buckets(docs.sparkSession)
     starts = repeated_windows(rows, size)
     place = F.pmod(F.col("key").bitwiseXOR(F.col("mark")), F.lit(n)).cast("int").alias("place")

@@ -43,6 +43,20 @@ def test_repeated_ids_with_other_texts(spark):
     assert run(spark, rows, 4) == brute(rows, 4)
 
 
+def test_texts_of_one_id_that_share_a_checksum(spark):
+    tail = " a b c d e f g"
+    rows = [(1, "plumless" + tail[:8]), (5, "plumless" + tail), (5, "buckeroo" + tail), (None, "plumless w x y z"), (None, "buckeroo w x y z"), (9, "buckeroo w x y z")]
+    assert run(spark, rows, 4) == brute(rows, 4)
+
+
+def test_columns_named_like_internal_ones(spark):
+    names = ["key", "mark", "place", "data", "kind", "n_removed", "removed"]
+    rows = [(2, "a b c d"), (1, "a b c d"), (None, None)]
+    df = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    got = sd.dedup(df, 4).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 4)
+
+
 def test_empty(spark):
     assert run(spark, [], 4) == []
 
