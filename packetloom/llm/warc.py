@@ -1,15 +1,18 @@
 """Content-addressed WARC archive.
 
 An archive is a folder of two Parquet tables: `payloads` (sha256, payload) holds each distinct payload once;
-`records` holds the exact header block of every record, and the digest of its payload. The original bytes of
-a record are header block + payload + CRLF CRLF, put together by a join on the digest. Digests are SHA-256,
-recomputed from the stored bytes when an archive is read; a payload that does not match fails the read.
-`read_warc` takes ordinary .warc files apart into records, `add_records` stores those unchanged.
-
-Defined cases: a null html is an empty payload; a null url gives the target `about:blank`; repeated rows of a
-page are records of their own, of which the first in no particular order is the response when they hold the
-smallest page_id of their payload (they are alike), so equal rows all answer as responses; a null page_id
-sorts before all others. Empty tables make an empty archive. Further columns are not read.
+`records` holds the exact header block of every record, and the digest of its block (null where it has none). The original bytes of
+a record are header block + block + CRLF CRLF, put together by a join on the digest. Digests are SHA-256,
+recomputed from the stored bytes when an archive is read; a payload that does not match fails the read, as does one that is missing.
+What is read comes from reconstructed records: lengths and digests from their bytes, types and references from their headers, and a revisit finds
+the record that it refers to by that record's id. `read_warc` takes ordinary .warc files apart into records, `add_records` stores those unchanged.
+
+A record's id is made from its page_id and payload, so repeated rows of a page with one payload are one record, written as often as they come.
+
+Defined cases: a null html is an empty payload; a null url gives the target `about:blank`; of repeated rows of a
+page all are responses when they hold the smallest page_id of their payload (they are alike); a null page_id
+sorts before all others. A very long html is one value in one row, of 2 GB at most. Empty tables make an empty archive. Further columns are not
+read.
 """
 
 from __future__ import annotations
@@ -22,11 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import shared_dir
+from .shared import cut, shared_dir
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
-RECORD = "page_id long, header binary, sha256 string, record_type string, refers_to long"
+RECORD = "page_id long, header binary, sha256 string"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -36,8 +39,8 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*pieces), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
-def _record_id(page_id: Column) -> Column:
-    h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit("null"))))
+def _record_id(page_id: Column, sha256: Column) -> Column:
+    h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(":"), sha256))
     dashed = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     return F.concat(F.lit("<urn:uuid:"), dashed, F.lit(">"))
 
@@ -49,11 +52,11 @@ def _header(date: str) -> Column:
     return F.concat(
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", _record_id(F.col("page_id"))),
+        line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("sha256"))),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.coalesce(F.regexp_replace("url", r"[\r\n]", ""), F.lit("about:blank"))),
         F.when(revisit, line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(""),
-        F.when(revisit, line("WARC-Refers-To", _record_id(F.col("refers_to")))).otherwise(""),
+        F.when(revisit, line("WARC-Refers-To", _record_id(F.col("refers_to"), F.col("sha256")))).otherwise(""),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes")).cast("string")),
@@ -77,7 +80,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
     records = joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn(
         "refers_to", F.when(revisit, F.col("__first"))
     )
-    records.select("page_id", F.encode(_header(date), "UTF-8").alias("header"), "sha256", "record_type", "refers_to").write.parquet(f"{path}/records")
+    block = F.when(F.col("record_type") == "response", F.col("sha256"))
+    records.select("page_id", F.encode(_header(date), "UTF-8").alias("header"), block.alias("sha256")).write.parquet(f"{path}/records")
     # Payloads move once: the bytes are joined to the first page of each digest, where equal rows of it are merged.
     key = F.coalesce(F.col("page_id"), F.lit(-(1 << 63)))
     keys = first.select(F.coalesce(F.col("__first"), F.lit(-(1 << 63))).alias("__of"), "__sha256")
@@ -98,25 +102,48 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """The bytes of every record as written: (page_id, record). A revisit has no block of its own."""
-    joined = records(spark, path).join(payloads(spark, path), "sha256")
-    body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return joined.select("page_id", F.concat(F.col("header"), body, F.lit(b"\r\n\r\n")).alias("record"))
+    """The bytes of every record as written: (page_id, header_bytes, record)."""
+    stored = payloads(spark, path).select(F.col("sha256").alias("__sha256"), "payload")
+    joined = records(spark, path).join(stored, F.col("sha256") == F.col("__sha256"), "left")
+    missing = F.raise_error(F.concat(F.lit("no payload for the digest "), F.col("sha256"))).cast("binary")
+    block = F.when(F.col("sha256").isNull(), F.lit(b"")).when(F.col("payload").isNull(), missing).otherwise(F.col("payload"))
+    return joined.select("page_id", F.octet_length("header").alias("header_bytes"), F.concat(F.col("header"), block, F.lit(b"\r\n\r\n")).alias("record"))
+
+
+def _field(header: Column, name: str) -> Column:
+    """Value of a header line; null without one."""
+    return F.nullif(F.regexp_extract(header, rf"\r\n{name}:[ \t]*([^\r]*)", 1), F.lit(""))
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """What the archive says of every record: types and references from the headers, sizes and digests from the bytes."""
-    facts = payloads(spark, path).select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    text = F.decode("header", "UTF-8")
-    kind = F.regexp_extract(text, r"\r\nWARC-Type: ([^\r]*)", 1)
-    said = F.regexp_extract(text, r"\r\nWARC-Payload-Digest: sha1:([^\r]*)", 1)
-    wrong = F.raise_error(F.lit("a header's digest does not match its payload")).cast("string")
-    return records(spark, path).join(facts, "sha256").select(
+    """What the archive says of every record: page_id, payload_bytes, payload_digest, record_type and refers_to (the response's page_id)."""
+    whole = reconstruct(spark, path)
+    header = F.decode(F.substring(F.col("record"), F.lit(1), F.col("header_bytes")), "UTF-8")
+    length = F.octet_length("record") - F.col("header_bytes") - 4
+    block = F.substring(F.col("record"), F.col("header_bytes") + 1, length)
+    parsed = whole.select(
+        "page_id",
+        _field(header, "WARC-Record-ID").alias("id"),
+        _field(header, "WARC-Type").alias("kind"),
+        _field(header, "WARC-Refers-To").alias("of"),
+        _field(header, "WARC-Payload-Digest").alias("said"),
+        (_field(header, "Content-Length").cast("long") == length).alias("whole"),
+        length.cast("long").alias("bytes"),
+        base32_sha1(block).alias("digest"),
+    )
+    parsed = cut(parsed, "warc_read")
+    first = parsed.where(F.col("kind") == "response").groupBy(F.col("id").alias("first_id")).agg(F.first("page_id").alias("first_page"), F.first("bytes").alias("first_bytes"), F.first("digest").alias("first_digest"))
+    revisit = F.col("kind") == "revisit"
+    joined = parsed.join(first, F.col("of") == F.col("first_id"), "left")
+    digest = F.when(revisit, F.col("first_digest")).otherwise(F.col("digest"))
+    wrong = F.raise_error(F.concat(F.lit("a record does not match its header: "), F.col("id"))).cast("string")
+    right = F.col("whole") & (F.col("said") == F.concat(F.lit("sha1:"), digest))
+    return joined.select(
         "page_id",
-        "payload_bytes",
-        F.when(said == F.col("payload_digest"), F.col("payload_digest")).otherwise(wrong).alias("payload_digest"),
-        kind.alias("record_type"),
-        "refers_to",
+        F.when(revisit, F.col("first_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"),
+        F.when(right, digest).otherwise(wrong).alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        F.when(revisit, F.col("first_page")).alias("refers_to"),
     )
 
 
@@ -167,5 +194,5 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def add_records(rows: DataFrame, path: str) -> None:
     """Store records (page_id, header, payload) unchanged: headers apart, each payload once."""
     keyed = rows.withColumn("sha256", F.sha2(F.coalesce(F.col("payload"), F.lit(b"")), 256))
-    keyed.select("page_id", "header", "sha256", F.lit("resource").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).write.parquet(f"{path}/records")
+    keyed.select("page_id", "header", "sha256").write.parquet(f"{path}/records")
     keyed.select("sha256", F.coalesce(F.col("payload"), F.lit(b"")).alias("payload")).dropDuplicates(["sha256"]).write.parquet(f"{path}/payloads")

@@ -51,6 +51,27 @@ def test_payloads_are_stored_once_and_verified(spark, tmp_path):
         warc.payloads(spark, path).collect()
 
 
+def test_what_is_read_comes_from_the_records(spark, tmp_path):
+    path = str(tmp_path / "a")
+    warc.write_archive(frame(spark), path)
+    rows = [(r.page_id, bytes(r.header), r.sha256) for r in warc.records(spark, path).collect()]
+    assert {h is None for _, header, h in rows if b"WARC-Type: revisit" in header} == {True}
+    for change in (lambda h: h.replace(b"sha1:", b"sha1:A"), lambda h: h.replace(b"Content-Length: ", b"Content-Length: 1")):
+        other = str(tmp_path / f"b{change(b'sha1:').decode()[:6]}x")
+        spark.createDataFrame([(k, bytearray(change(h)), s) for k, h, s in rows], warc.RECORD).write.parquet(f"{other}/records")
+        warc.payloads(spark, path).write.parquet(f"{other}/payloads")
+        with pytest.raises(Exception, match="does not match its header"):
+            warc.read_archive(spark, other).collect()
+
+
+def test_a_missing_payload_fails(spark, tmp_path):
+    path = str(tmp_path / "a")
+    spark.createDataFrame([(1, bytearray(b"WARC/1.1\r\n\r\n"), "0" * 64)], warc.RECORD).write.parquet(f"{path}/records")
+    spark.createDataFrame([], "sha256 string, payload binary").write.parquet(f"{path}/payloads")
+    with pytest.raises(Exception, match="no payload"):
+        warc.reconstruct(spark, path).collect()
+
+
 def test_records_are_well_formed(spark, tmp_path):
     path = str(tmp_path / "a")
     warc.write_archive(frame(spark), path)
