@@ -3,9 +3,11 @@
 Shard j draws u(key, j) in (0, 1) and bids -weight_j / ln(u). The highest bid wins, so shard j gets its
 share of the weights, and a new shard takes rows only into itself: the other bids stay as they were.
 
+Slots are numbered in groups by a hash of key and text, so that different rows of one key (or of none) do not meet in one task.
+
 Defined cases: a null key is a key like any other (all such rows share a shard); repeated rows of one key
-share a shard and get slots of their own; an empty table gives an empty result; a null text has size 8.
-Other columns of the table are not read, so their names cannot clash.
+share a shard and get slots of their own, in any order among equal rows; an empty table gives an empty result; a null text has size 8; a
+very long text is only measured. Other columns of the table are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -68,7 +70,7 @@ def assign(docs: DataFrame, weights: Sequence[float], grown: Sequence[float], se
         F.crc32(text).cast("long").alias("text_crc32"),
         rendezvous(F.col("doc_id"), weights, seed).alias("shard"),
         rendezvous(F.col("doc_id"), grown, seed).alias("grown_shard"),
-        F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("__h"),
+        F.xxhash64(F.col("doc_id"), F.lit(seed), F.crc32(text).cast("long")).alias("__h"),
     )
     return slots(rows, "shard", ["doc_id", "text_crc32", "size"], "__h").select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"

@@ -31,7 +31,7 @@ def brute(rows, weights, grown):
     out = []
     for key, text in rows:
         data = (text or "").encode()
-        spread = hashed((key, 8), (17, 4))
+        spread = hashed((key, 8), (17, 4), (zlib.crc32(data), 8))
         signed = spread - (1 << 64) if spread >> 63 else spread
         out.append([key, len(data) + 8, zlib.crc32(data), "key", winner(key, weights), (spread >> 54, signed), winner(key, grown)])
     order = {}
@@ -58,6 +58,14 @@ def test_growth_moves_rows_only_into_the_new_shard_and_slots_are_gapless(spark):
         assert sorted(r[5] for r in got if r[4] == shard) == list(range(n))
 
 
+def test_rows_without_a_key_are_numbered_in_many_groups(spark):
+    rows = [(None, f"text {k}") for k in range(500)]
+    got = run(spark, rows, [1.0] * 3, [1.0] * 4)
+    assert got == brute(rows, [1.0] * 3, [1.0] * 4) and sorted(r[5] for r in got) == list(range(500))
+    spread = {hashed((None, 8), (17, 4), (zlib.crc32(t.encode()), 8)) >> 54 for _, t in rows}
+    assert len(spread) > 300
+
+
 def test_weights(spark):
     got = Counter(r[4] for r in run(spark, [(k, "") for k in range(4000)], [1.0, 3.0, 0.0], [1.0]))
     assert got[2] == 0 and 2.5 < got[1] / got[0] < 3.5
