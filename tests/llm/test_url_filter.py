@@ -106,3 +106,13 @@ def test_reputation(spark):
 
 def test_empty(spark):
     assert run(spark, [], []) == []
+
+
+def test_suffixes_are_an_argument(spark):
+    hosts = ["a.b.co.nz", "b.co.nz", "co.nz", "nz", "", "x.y.z.github.io", "a.example.com", "host.k12.ca.us"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    known = ("co.nz", "github.io", "k12.ca.us")
+    got = df.select("host", uf.suffix(df.host, known), uf.registered_domain(df.host, known)).collect()
+    assert [tuple(r)[1:] for r in got] == [
+        ("co.nz", "b.co.nz"), ("co.nz", "b.co.nz"), ("co.nz", "co.nz"), ("nz", "nz"), ("", ""), ("github.io", "z.github.io"), ("com", "example.com"), ("k12.ca.us", "host.k12.ca.us")
+    ]
