@@ -7,9 +7,10 @@ document is kept when no rule fails, the quality probability is at least KEEP_QU
 below DROP_TOXIC.
 
 Features of a text: the set of its hashed words (A-Z lower-cased runs of letters, digits and non-ASCII bytes), of their
-bigrams and of the n-grams that words begin with, which catch the inflections of a stem; and the shares of its hashed byte trigrams.
+bigrams and of the n-grams that words begin with, which catch the inflections of a stem; and the shares of its hashed character trigrams.
 
-Defined cases: a null or wordless text has no words, so it fails the rules; equal rows are judged alike; label rows
+Defined cases: a null or wordless text has no words, so it fails the rules; a very long text is worked on alone, as arrays of its
+words; equal rows are judged alike; label rows
 with a null are not used; a document with several label rows counts once for each; without rows of both classes a head gives its
 base rate. Empty tables give an empty result. Only doc_id and text are read, so further columns cannot clash.
 """
@@ -93,6 +94,15 @@ def counts(texts: tk.Texts) -> dict[str, np.ndarray]:
     }
 
 
+def code_points(texts: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of some texts, and the texts' bounds among them."""
+    first = (texts.buf & 0xC0) != 0x80
+    if first.all():
+        return texts.buf.astype(np.uint32), texts.bounds
+    points = np.frombuffer(texts.buf.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    return points, np.concatenate([[0], np.cumsum(first)])[texts.bounds]
+
+
 def features(texts: tk.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct word features (text, slot), and every trigram's (text's bounds, slot)."""
     starts, ends, first = texts.spans(tk.ALNUM_BYTES)
@@ -102,12 +112,12 @@ def features(texts: tk.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     at, pairs = tk.windows(hashes[-1], first, 2, _PAIR)
     both = np.unique(np.concatenate([(w.astype(np.uint64) << np.uint64(18)) | (h >> np.uint64(46)) for w, h in [*((who, h) for h in hashes), (who[at], pairs)]]))
     text, slot = (both >> np.uint64(18)).astype(np.int64), (both & np.uint64(WORD_SLOTS - 1)).astype(np.int64)
-    b = texts.buf.astype(np.uint32)
+    b, bounds = code_points(texts)
     grams = (b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA77) ^ b[2:] * np.uint32(0xC2B2AE3D)) if len(b) > 2 else np.zeros(0, np.uint32)
     grams = (grams ^ (grams >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(22)
     # A trigram belongs to the text that holds all of it.
-    low = np.minimum(texts.bounds[:-1], len(grams))
-    high = np.clip(texts.bounds[1:] - 2, low, len(grams))
+    low = np.minimum(bounds[:-1], len(grams))
+    high = np.clip(bounds[1:] - 2, low, len(grams))
     return text, slot, np.stack([low, high]), grams.astype(np.int64)
 
 
