@@ -25,7 +25,7 @@ from ..operators.routing import retain_source_context, route_to_targets
 from ..plans.calendar import checked_chunk, checked_day, chunk_ids
 from ..sources import capture
 from . import store
-from .acquire import RawSource, Spool, download
+from .acquire import CacheError, RawSource, Spool, download
 from .files import artifact, publish, read_json, with_keys, write_json
 from .identity import cohort_identity
 
@@ -150,23 +150,102 @@ def extract_chunk(spark: SparkSession, path: Path, found: store.Provenance, root
         publish(ready, destination)
     finally:
         shutil.rmtree(staging)
-    return store.check_chunk(spark, root, chunk, found.identity, source)
+    try:
+        return store.check_chunk(spark, root, chunk, found.identity, source)
+    except BaseException:
+        shutil.rmtree(destination)  # ours, and not what was staged
+        raise
 
 
-def _previous(options: ExtractOptions) -> dict[str, Any] | None:
+def _previous(options: ExtractOptions) -> dict[str, dict[str, Any]]:
+    """States of the chunks by an earlier run with the same options; all pending without one."""
+    ids = chunk_ids(options.day)
     path = options.dataset_root / "dataset_manifest.json"
     if not path.exists():
-        return None
-    dm = with_keys(read_json(path), store.DATASET_KEYS, "dataset manifest")
-    if (dm["day"], dm["target_chunk"], dm["packet_counts"], dm["tool"]) != (options.day, options.target_chunk, list(options.packet_counts), store.TOOL):
+        return {c: {"status": "pending"} for c in ids}
+    dm = store.conform(read_json(path), "dataset", expected_chunk_ids=[*ids])
+    if (dm["day"], dm["target_chunk"], dm["packet_counts"]) != (options.day, options.target_chunk, list(options.packet_counts)):
         raise ValueError("the dataset was begun with other options")
-    return dm
+    return {c: store.checked_state(c, state) for c, state in with_keys(dm["chunks"], {*ids}, "chunk states").items()}
+
+
+class Slots:
+    """Raw captures that may lie in the spool at once: those at work, and those that failed chunks leave."""
+
+    def __init__(self, most: int):
+        self.most, self.used, self.left = most, 0, 0
+        self.change = threading.Condition()
+
+    def take(self) -> bool:
+        """Wait for a slot; False when failed chunks hold all of them."""
+        with self.change:
+            self.change.wait_for(lambda: self.used + self.left < self.most or self.left >= self.most)
+            free = self.used + self.left < self.most
+            self.used += free
+            return free
+
+    def give(self, keeps_raw: bool) -> None:
+        with self.change:
+            self.used -= 1
+            self.left += keeps_raw
+            self.change.notify_all()
+
+
+def _category(error: Exception, phase: str) -> str:
+    return "cache" if isinstance(error, CacheError) else phase
+
+
+@dataclass
+class _Chunk:
+    """One chunk's way: reuse what is published, or acquire and extract. `source` is what is known when it fails."""
+
+    spark: SparkSession
+    found: store.Provenance
+    root: Path
+    spool: Spool
+    name: str
+    url: str
+    before: dict[str, Any]
+    source: RawSource | None = None
+    phase: str = "extraction"
+
+    def reuse(self) -> None:
+        self.source = RawSource.of(store.check_chunk(self.spark, self.root, self.name, self.found.identity)["source"])
+        recorded = self.before.get("source", self.source.asdict())
+        if self.source.source_url != self.url or recorded != self.source.asdict():
+            raise ValueError("the published chunk is of another capture than this run's or the recorded one")
+
+    def make(self, target: bool) -> None:
+        self.phase = "acquisition"
+        self.source = download(self.name, self.url, self.spool)  # proves the bytes of one that is there
+        self.phase = "extraction"
+        if target and self.source != self.found.source:
+            raise ValueError("the target's capture is not the one that its flows were taken from")
+        extract_chunk(self.spark, self.spool.raw(self.name), self.found, self.root, self.name, self.source)
+
+    def state(self, target: bool, keep_raw: bool) -> dict[str, Any]:
+        try:
+            if (self.root / "observations" / self.name).exists():
+                self.reuse()
+            else:
+                self.make(target)
+            if not keep_raw and self.spool.raw(self.name).exists():
+                self.phase = "cache"
+                self.spool.discard(self.source)
+        except Exception as error:  # of this chunk only; the text of an error may hold anything, its type does not
+            known = {} if self.source is None else {"source": self.source.asdict()}
+            return {"status": "failed", "error": f"{_category(error, self.phase)}: {type(error).__name__}"} | known
+        return {"status": "success", "source": self.source.asdict(), "manifest": store.manifest_path(self.name)}
 
 
 def run(spark: SparkSession, options: ExtractOptions, resolve: Callable[[str, str], str], keep_raw: bool = False) -> Path:
-    """Extract a day, or what an earlier run left. `resolve` gives a chunk's URL (file: URLs work too)."""
-    root, spool = options.dataset_root, Spool(options.spool_root)
-    previous = _previous(options)
+    """Extract a day, or what an earlier run left. `resolve` gives a chunk's URL (file: URLs work too).
+
+    At most workers + 2 raw captures are in the spool, unless they are to be kept: when failed chunks have left so many, the
+    chunks that remain stay pending.
+    """
+    root, spool, ids = options.dataset_root, Spool(options.spool_root), chunk_ids(options.day)
+    chunks = _previous(options)
     url = lambda c: resolve(options.day, c)
     if not (root / "provenance").exists():
         source = download(options.target_chunk, url(options.target_chunk), spool)
@@ -174,47 +253,31 @@ def run(spark: SparkSession, options: ExtractOptions, resolve: Callable[[str, st
     found = store.load_provenance(spark, root, options.target_chunk)
     if found.counts != options.packet_counts:
         raise ValueError("the cohort is of other packet counts")
-    ids = chunk_ids(options.day)
-    chunks = {c: {"status": "pending"} for c in ids}
-    for c, state in (previous or {"chunks": {}})["chunks"].items():
-        if state["status"] == "success" or (root / "observations" / c).exists():
-            chunks[c] = state
-    lock = threading.Lock()
+    lock, slots = threading.Lock(), Slots(len(ids) if keep_raw else options.workers + 2)
 
     def save(status: str) -> None:
-        write_json(
-            root / "dataset_manifest.json",
-            {
-                "manifest_schema_version": store.VERSIONS["dataset"], "day": options.day, "target_chunk": options.target_chunk, "packet_counts": list(options.packet_counts),
-                "cohort_identity": found.identity, "expected_chunk_ids": list(ids), "flow_manifest": store.FLOW_MANIFEST, "cohort_manifest": store.COHORT_MANIFEST,
-                "observation_schemas": store.TABLES, "tool": store.TOOL, "status": status, "chunks": chunks,
-            },
-        )
-
-    def one(chunk: str) -> None:
-        try:
-            if (root / "observations" / chunk).exists():
-                manifest = store.check_chunk(spark, root, chunk, found.identity)
-                source = RawSource.of(manifest["source"])
-            else:
-                source = found.source if chunk == options.target_chunk else None
-                source = download(chunk, url(chunk), spool) if source is None or not spool.raw(chunk).exists() else source
-                extract_chunk(spark, spool.raw(chunk), found, root, chunk, source)
-            state = {"status": "success", "source": source.asdict(), "manifest": f"observations/{chunk}/manifest.json"}
-            if not keep_raw and spool.raw(chunk).exists():
-                spool.delete(source)
-        except Exception as error:  # of this chunk only; the text of an error may hold anything, its type does not
-            state = {"status": "failed", "error": f"extraction: {type(error).__name__}"}
+        free = {
+            "status": status, "day": options.day, "target_chunk": options.target_chunk, "packet_counts": list(options.packet_counts),
+            "cohort_identity": found.identity, "expected_chunk_ids": list(ids), "chunks": chunks,
+        }
+        write_json(root / "dataset_manifest.json", store.FIXED["dataset"] | free)
+
+    def one(name: str) -> None:
+        if not slots.take():
+            return
+        state = _Chunk(spark, found, root, spool, name, url(name), chunks[name]).state(name == options.target_chunk, keep_raw)
+        slots.give(state["status"] == "failed" and spool.raw(name).exists())
         with lock:
-            chunks[chunk] = state
+            chunks[name] = state
             save("incomplete")
 
     save("incomplete")
     with ThreadPoolExecutor(options.workers) as pool:
         for done in as_completed([pool.submit(one, c) for c in ids]):
             done.result()
-    failed = [c for c in ids if chunks[c]["status"] != "success"]
-    save("incomplete" if failed else "success")
-    if failed:
-        raise IncompleteExtraction(f"{len(failed)} of {len(ids)} chunks failed: {', '.join(failed[:5])}")
+    unfinished = [c for c in ids if chunks[c]["status"] != "success"]
+    save("incomplete" if unfinished else "success")
+    if unfinished:
+        failed = [c for c in unfinished if chunks[c]["status"] == "failed"]
+        raise IncompleteExtraction(f"{len(failed)} of {len(ids)} chunks failed, {len(unfinished) - len(failed)} are pending: {', '.join(failed[:5])}")
     return root
