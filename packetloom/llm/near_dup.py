@@ -110,12 +110,24 @@ _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("level", pa.int32()),
 _LINKS_SQL = "a long, b long, level int, tree int, path long"
 
 
-def _descended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted paths to links (a, b) of each node and the first of its run, with the longest prefix that links them so.
+def last_level(threshold: float, target: float) -> int:
+    """The longest prefix that even links at the threshold share with the target probability: no shorter one is needed."""
+    return max([level for level in range(1, LEVELS + 1) if chance(threshold, level) >= target], default=1)
+
+
+def _descended(low: int):
+    """Sorted paths to links (a, b) of each node and the first of its run, with the longest prefix (of `low` levels at least) that links them so.
 
     The first and the last path come too, at level 0 with b null: there a run may go on in the partition before or after.
     """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _linked(batches, low)
+
+    return run
+
+
+def _linked(batches: Iterator[pa.RecordBatch], low: int) -> Iterator[pa.RecordBatch]:
     def edge(tree: np.ndarray, path: np.ndarray, node: np.ndarray, k: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"a": node[[k]], "b": pa.nulls(1, pa.int64()), "level": [0], "tree": tree[[k]], "path": path[[k]]}, schema=_LINKS)
 
@@ -131,7 +143,7 @@ def _descended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         differ = (path ^ before).view(np.uint64)
         at = np.arange(len(node))
         above = None  # leaders one level longer
-        for level in range(LEVELS, 0, -1):
+        for level in range(LEVELS, low - 1, -1):
             new = (tree != before_tree) | (differ >> np.uint64(64 - 8 * level) != 0)
             start = np.maximum.accumulate(np.where(new, at, -1))
             lead = np.where(start >= 0, node[np.maximum(start, 0)], leaders.get(level, node[0]))
@@ -147,15 +159,15 @@ def _descended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edge(*end, -1)
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """(a, b, level): nodes that share a prefix of `level` levels or more, so that the prefix's nodes hang together."""
+def links(sets: DataFrame, low: int = 1) -> DataFrame:
+    """(a, b, level): nodes that share a prefix of `level` levels (`low` at least), so that the prefix's nodes hang together."""
     n = buckets(sets.sparkSession)
     every = sets.select("node", F.posexplode("paths").alias("tree", "path"))
     dealt = every.repartitionByRange(n, "tree", "path", "node").sortWithinPartitions("tree", "path", "node")
-    found = cut(dealt.mapInArrow(_descended, _LINKS_SQL), "near_paths")
+    found = cut(dealt.mapInArrow(_descended(low), _LINKS_SQL), "near_paths")
     # Two rows for each partition.
     edges = found.where("level = 0").select("tree", "path", F.col("a").alias("node")).distinct().repartition(1).sortWithinPartitions("tree", "path", "node")
-    across = edges.mapInArrow(_descended, _LINKS_SQL).where("level > 0")
+    across = edges.mapInArrow(_descended(low), _LINKS_SQL).where("level > 0")
     both = found.where("level > 0").unionByName(across)
     return cut(both.groupBy("a", "b").agg(F.max("level").alias("level")), "near_links")
 
@@ -266,11 +278,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGE
     nodes = facts.where("node is not null").groupBy("node")
     first = F.min(F.struct("key", "mark")).alias("first")
     sets = cut(nodes.agg(first, F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("paths").alias("paths")), "near_sets")
-    met = links(sets.select("node", "paths"))
-    for level in range(LEVELS, 0, -1):
+    low = last_level(threshold, target)
+    met = links(sets.select("node", "paths"), low)
+    for level in range(LEVELS, low - 1, -1):
         verified = _compared(rows, sets.drop("paths"), met.where(F.col("level") >= level).select("a", "b"), threshold, level)
         found, expected = verified.agg(F.coalesce(F.sum("number"), F.lit(0)), F.coalesce(F.sum("expected"), F.lit(0.0))).first()
-        if chance(threshold, level) >= target or (found and found / expected >= target):
+        if found and found / expected >= target:
             break
     return _classed(facts, sets, verified)
 
