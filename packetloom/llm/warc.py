@@ -133,6 +133,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     )
     parsed = cut(parsed, "warc_read")
     first = parsed.where(F.col("kind") == "response").groupBy(F.col("id").alias("first_id")).agg(F.first("page_id").alias("first_page"), F.first("bytes").alias("first_bytes"), F.first("digest").alias("first_digest"))
+    first = cut(first, "warc_first")  # so that the join can split a record that very many refer to
     revisit = F.col("kind") == "revisit"
     joined = parsed.join(first, F.col("of") == F.col("first_id"), "left")
     digest = F.when(revisit, F.col("first_digest")).otherwise(F.col("digest"))
