@@ -1,7 +1,7 @@
 """Quality rules: fixed rules on counts, then hashed word and character n-gram logistic regression.
 
 Two heads share the features, one for each label of the labelled rows: quality and toxic. Both are trained with
-numpy on a bounded sample of labelled documents (SAMPLE rows, those of smallest hash, whatever the size of the table),
+numpy, in one task, on a bounded sample of labelled documents (SAMPLE rows, those of smallest hash, whatever the size of the table),
 calibrated by Platt scaling on a held-out quarter of it, and scored in Arrow batches against fixed thresholds. A
 document is kept when no rule fails, the quality probability is at least KEEP_QUALITY, and the toxic probability is
 below DROP_TOXIC.
@@ -29,7 +29,7 @@ from . import tokens as tk
 
 #: Most labelled rows that a classifier is fitted on.
 SAMPLE = 6000
-#: Bytes of their text that the driver works on at once.
+#: Bytes of their text that are worked on at once.
 SAMPLE_SLICE = 1 << 20
 WORD_SLOTS, CHAR_SLOTS = 1 << 18, 1 << 10
 WORD_SCALE, CHAR_SCALE = 15.0, 60.0
@@ -243,17 +243,41 @@ def fit_head(sample: Sample, label: np.ndarray, held: np.ndarray, steps: int = 3
     return Head(words, c.astype(np.float32), float(a[0]), float(a[0] * bias[0] + b[0]))
 
 
+_HEADS = pa.schema([("head", pa.int32()), ("words", pa.binary()), ("chars", pa.binary()), ("scale", pa.float64()), ("shift", pa.float64())])
+_HEADS_SQL = "head int, words binary, chars binary, scale double, shift double"
+
+
+def _fitted(names: tuple[str, ...]):
+    """The whole sample to a head for each label column; a part of every fourth row, in the order given, is held out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            texts.append(batch.select(["text"]))
+            labels.append(np.array([batch.column(c).to_numpy(zero_copy_only=False) for c in names], float).reshape(len(names), -1))
+        wanted = np.clip(np.concatenate([np.zeros((len(names), 0)), *labels], axis=1), 0, 1)
+        found = Sample.of(texts)
+        del texts
+        held = np.arange(found.n) % 4 == 3
+        for k, label in enumerate(wanted):
+            h = fit_head(found, label, held)
+            yield pa.RecordBatch.from_pydict({"head": [k], "words": [h.words.tobytes()], "chars": [h.chars.tobytes()], "scale": [h.scale], "shift": [h.shift]}, schema=_HEADS)
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = ("quality", "toxic"), sample: int = SAMPLE) -> list[Head]:
-    """A head for each label column, from at most `sample` labelled rows."""
+    """A head for each label column, from at most `sample` labelled rows. One task fits them; only weights come to the driver."""
     usable = labels.where(" and ".join(f"{c} is not null" for c in ("doc_id", *names))).select(F.col("doc_id").alias("__id"), *names)
     chosen = usable.orderBy(F.xxhash64("__id"), "__id", *names).limit(sample)  # a documented bound, so it may be sent to every task
     rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *names)
-    table = rows.orderBy(F.xxhash64("__id"), "__id", F.xxhash64("text"), *names).limit(sample).toArrow()
-    found = Sample.of(table.select(["text"]).to_batches())
-    wanted = [np.clip(table.column(c).to_numpy().astype(float), 0, 1) for c in names]
-    del table
-    held = np.arange(found.n) % 4 == 3
-    return [fit_head(found, label, held) for label in wanted]
+    table = rows.orderBy(F.xxhash64("__id"), "__id", F.xxhash64("text"), *names).limit(sample).coalesce(1)
+    heads = {r["head"]: r for r in table.select("text", *names).mapInArrow(_fitted(names), _HEADS_SQL).collect()}  # of fixed size
+    read = lambda data: np.frombuffer(data, np.float32)
+    if not heads:  # an empty table may have no partition
+        nothing = Sample.of([])
+        return [fit_head(nothing, np.zeros(0), np.zeros(0, bool)) for _ in names]
+    return [Head(read(heads[k].words), read(heads[k].chars), heads[k].scale, heads[k].shift) for k in range(len(names))]
 
 
 OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality_probability double, toxic_probability double"
