@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import ACK, FIN, RST, SYN, TCP, UDP, has, plain_syn
@@ -10,8 +10,8 @@ from .cohort import COHORT_COLUMNS
 
 NEIGHBOURHOODS = (1, 10, 60, 300)
 WINDOWS = (60, 300)
-#: Width of the time buckets that windows are matched by, in seconds.
-BUCKET = 300
+#: Width of the time buckets that destinations are gathered by, in seconds; the narrowest window of a flow reaches over one's end.
+BUCKET = 60
 
 COHORT_RESULT_COLUMNS = tuple(c for c in COHORT_COLUMNS if not c.startswith("initial_syn_"))
 TUPLE_COLUMNS = (
@@ -67,51 +67,106 @@ _FLAGGED = {
     "fin_out": lambda out, inn, flags: out & has(flags, FIN),
     "fin_in": lambda out, inn, flags: inn & has(flags, FIN),
 }
+_SUMMED = ("packets", *_FLAGGED)
 _UNIQUE = ("ips", "ports", "pairs")
-_PARTS = {TCP: ("packets", *_FLAGGED, *_UNIQUE), UDP: ("packets", *_UNIQUE)}
-_EVENT = ("context_source_ip", "protocol", "timestamp", "tcp_flags", "outbound", "inbound", "dst_ip", "dst_port")
+_PARTS = {TCP: (*_SUMMED, *_UNIQUE), UDP: ("packets", *_UNIQUE)}
+_SOURCE = ("context_source_ip", "protocol")
+_DESTINATION = ("dst_ip", "dst_port")
+_EVENT = (*_SOURCE, "timestamp", "tcp_flags", "outbound", "inbound", *_DESTINATION)
 
 
-def _counted(rows: DataFrame, keys: list[str], scopes: dict[str, Column]) -> DataFrame:
-    """All counts for each key and scope, as `<part>_<scope>`; a scope is a condition on the rows.
-
-    Rows are first summed by destination, which a hot source repeats most; a distinct count then sees each destination once.
-    """
+def _tests() -> dict[str, Column]:
     out, inn, flags = F.col("outbound"), F.col("inbound"), F.col("tcp_flags")
-    tests = {"packets": F.lit(True)} | {k: f(out, inn, flags) for k, f in _FLAGGED.items()}
-    sums = {f"{k}_{s}": F.count_if(c & t) for s, c in scopes.items() for k, t in tests.items()}
-    seen = {f"__seen_{s}": F.max(c & out) for s, c in scopes.items()}
-    first = rows.groupBy(*keys, "dst_ip", "dst_port").agg(*[v.alias(k) for k, v in (sums | seen).items()])
-    unique = []
-    for s in scopes:
-        there = F.col(f"__seen_{s}")
+    return {"packets": F.lit(True)} | {k: f(out, inn, flags) for k, f in _FLAGGED.items()}
+
+
+def _distinct(seen: dict[str, Column]) -> list[Column]:
+    """Distinct counts as `<part>_<scope>`, from rows that are one for each destination; seen: where a scope has it."""
+    out = []
+    for scope, there in seen.items():
         values = (F.count_distinct(F.when(there, F.col("dst_ip"))), F.count_distinct(F.when(there, F.col("dst_port"))), F.count_if(there))
-        unique += [v.alias(f"{u}_{s}") for u, v in zip(_UNIQUE, values, strict=True)]
-    return first.groupBy(*keys).agg(*[F.sum(k).alias(k) for k in sums], *unique)
+        out += [v.alias(f"{u}_{scope}") for u, v in zip(_UNIQUE, values, strict=True)]
+    return out
 
 
 def _day_counts(cohort: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """Counts of each source and protocol of the cohort over the whole day (scope 24h), once for each source."""
-    keys = ["context_source_ip", "protocol"]
-    joined = cohort.select(*keys).distinct().join(endpoints.select(*_EVENT), keys, "left")
-    return _counted(joined, keys, {"24h": F.col("timestamp").isNotNull()})
+    """Counts of each source and protocol of the cohort over the whole day (scope 24h), once for each source.
+
+    Rows are first summed by destination, which a hot source repeats most; a distinct count then sees each destination once.
+    """
+    joined = cohort.select(*_SOURCE).distinct().join(endpoints.select(*_EVENT), list(_SOURCE), "left")
+    there = F.col("timestamp").isNotNull()
+    sums = [F.count_if(there & t).alias(f"{k}_24h") for k, t in _tests().items()]
+    first = joined.groupBy(*_SOURCE, *_DESTINATION).agg(*sums, F.max(there & F.col("outbound")).alias("__seen"))
+    return first.groupBy(*_SOURCE).agg(*[F.sum(f"{k}_24h").alias(f"{k}_24h") for k in _SUMMED], *_distinct({"24h": F.col("__seen")}))
 
 
-def _window_counts(cohort: DataFrame, endpoints: DataFrame, windows: tuple[int, ...]) -> DataFrame:
-    """Counts of each flow's source around its interval (scopes window_Ns); flows without packets there are absent.
+def _window_sums(flows: DataFrame, events: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """Packets of each flow's source within its windows, by kind, as differences of running sums; flows and packets do not meet.
 
-    Flows and packets meet by source and time bucket, which bounds what one hot source brings together; each window is then
-    compared exactly. All windows share the widest one's join.
+    The edges of all windows are sorted among the source's packets, second by second, so that no source is one task's; what earlier
+    seconds hold is added from a table of sums, which has a row for each second of a source at most.
     """
-    start, end, t = F.col("target_start_time"), F.col("target_end_time"), F.col("timestamp")
-    widest = max(windows)
-    bucket = lambda x: F.floor(x / BUCKET)
-    flows = cohort.select("target_flow_id", "context_source_ip", "protocol", "target_start_time", "target_end_time").where(start - widest <= end + widest)
-    probes = flows.withColumn("bucket", F.explode(F.sequence(bucket(start - widest), bucket(end + widest))))
-    events = endpoints.select(*_EVENT, bucket(t).alias("bucket"))
-    inside = {n: (t >= start - n) & (t <= end + n) for n in windows}
-    met = probes.join(events, ["context_source_ip", "protocol", "bucket"]).where(inside[widest])
-    return _counted(met, ["target_flow_id"], {f"window_{n}s": c for n, c in inside.items()})
+    edges = []
+    for n in windows:
+        edges += [(n, -1, F.col("target_start_time") - n), (n, 1, F.col("target_end_time") + n)]  # before packets of its time, and after
+    edge = [F.struct(F.lit(n).alias("reach"), F.lit(side).alias("side"), at.alias("timestamp")) for n, side, at in edges]
+    points = flows.select("target_flow_id", *_SOURCE, F.explode(F.array(*edge)).alias("edge")).select("target_flow_id", *_SOURCE, "edge.*", *[F.lit(0).alias(k) for k in _SUMMED])
+    packets = events.select(
+        F.lit(None).cast("long").alias("target_flow_id"), *_SOURCE, F.lit(None).cast("int").alias("reach"), F.lit(0).alias("side"), "timestamp", *[t.cast("int").alias(k) for k, t in _tests().items()]
+    )
+    rows = packets.unionByName(points).withColumn("second", F.floor("timestamp"))
+
+    place = [*_SOURCE, "second"]
+    so_far = Window.partitionBy(*place).orderBy("timestamp", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = rows.select("target_flow_id", *place, "reach", "side", *[F.sum(k).over(so_far).alias(k) for k in _SUMMED]).where("side <> 0")
+    before = Window.partitionBy(*_SOURCE).orderBy("second").rowsBetween(Window.unboundedPreceding, -1)
+    seconds = rows.groupBy(*place).agg(*[F.sum(k).alias(k) for k in _SUMMED])
+    earlier = seconds.select(*place, *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"earlier_{k}") for k in _SUMMED])
+
+    values = {}
+    for n in windows:
+        for k in _SUMMED:
+            signed = F.col("side") * (F.coalesce(k, F.lit(0)) + F.col(f"earlier_{k}"))
+            # A window that ends before it starts has no packets.
+            values[f"{k}_window_{n}s"] = F.greatest(F.sum(F.when(F.col("reach") == n, signed)), F.lit(0))
+    return running.join(earlier, place).groupBy("target_flow_id").agg(*[v.alias(k) for k, v in values.items()])
+
+
+def destinations(events: DataFrame) -> DataFrame:
+    """(source, protocol, bucket, destination, first, last): when a source's packets of a bucket reached each destination."""
+    reached = events.where("outbound").withColumn("bucket", _bucket(F.col("timestamp")))
+    return reached.groupBy(*_SOURCE, "bucket", *_DESTINATION).agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+
+
+def _bucket(time: Column) -> Column:
+    return F.floor(time / BUCKET)
+
+
+def _window_unique(flows: DataFrame, events: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """Distinct destinations of each flow's source within its windows, from the destinations of each bucket rather than from packets.
+
+    A window that reaches over a bucket's end has its packets before or after some time there, so the first and last packet to a
+    destination tell whether it has any. Windows within one bucket (of flows that end long before they start) see single packets.
+    """
+    edges = {n: (F.col("target_start_time") - n, F.col("target_end_time") + n) for n in windows}
+    low, high = edges[max(windows)]
+    probes = flows.where(_bucket(low) <= _bucket(high)).withColumn("bucket", F.explode(F.sequence(_bucket(low), _bucket(high))))
+    within = F.lit(False)
+    for a, b in edges.values():
+        within = within | (_bucket(a) >= _bucket(b))
+    single = events.where("outbound").select(*_SOURCE, _bucket(F.col("timestamp")).alias("bucket"), *_DESTINATION, F.col("timestamp").alias("first"), F.col("timestamp").alias("last"))
+    met = probes.where(~within).join(destinations(events), [*_SOURCE, "bucket"]).unionByName(probes.where(within).join(single, [*_SOURCE, "bucket"]))
+    seen = [F.max((F.col("first") <= b) & (F.col("last") >= a)).alias(f"__seen_{n}") for n, (a, b) in edges.items()]
+    each = met.groupBy("target_flow_id", *_DESTINATION).agg(*seen)
+    return each.groupBy("target_flow_id").agg(*_distinct({f"window_{n}s": F.col(f"__seen_{n}") for n in windows}))
+
+
+def _window_counts(cohort: DataFrame, endpoints: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """Counts of each flow's source around its interval (scopes window_Ns); distinct counts are null where there is nothing to count."""
+    flows = cohort.select("target_flow_id", *_SOURCE, "target_start_time", "target_end_time")
+    events = endpoints.select(*_EVENT).join(flows.select(*_SOURCE).distinct(), list(_SOURCE), "left_semi")
+    return _window_sums(flows, events, windows).join(_window_unique(flows, events, windows), "target_flow_id", "left")
 
 
 def _named(protocol: int, scope: str, suffix: str = "") -> list[Column]:

@@ -1,5 +1,7 @@
 """Semantics of flows, cohort, routing and context on small tables with known values."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,7 +169,40 @@ def test_reversed_intervals(spark):
     assert [r.target_flow_id for r in co.reversed_intervals(cohort).collect()] == [1]
 
 
-def test_hot_source_window_plan_has_no_cross_join(spark):
-    cohort = cohort_of(spark, [[1, 6, 1, 1, 2, 2, START, END, "h1"]])
-    plan = cx.source_window(cohort, endpoints(spark, [packet(1, START, 1, 1, 2, 2, flags=2)]), 6, 60)._jdf.queryExecution().executedPlan().toString()
+def test_windows_against_brute_force(spark):
+    """Random packets with many ties at the edges; some flows end long before they start, within one bucket or not."""
+    rng = random.Random(5)
+    time = lambda: 1000 + rng.randrange(0, 2400) * 0.5
+    rows = [packet(k, time(), rng.choice((1, 1, 1, 3)), 7, rng.choice((2, 3, 4, 5)), rng.choice((80, 81)), flags=rng.choice((1, 2, 4, 18)), protocol=rng.choice((6, 17))) for k in range(400)]
+    given = []
+    for k in range(60):
+        start = time()
+        given.append([k, rng.choice((6, 17)), 1, 1, 2, 2, start, start + rng.choice((0, 0.5, 20, 400, -30, -90, -119.5, -121, -500, -700)), rng.choice(("h1", "h1", "h3", "h8"))])
+    cohort, ends = cohort_of(spark, given), endpoints(spark, rows)
+    seen = [r.asDict() for r in ends.collect()]
+    for protocol, n in ((6, 60), (6, 300), (17, 60), (17, 300)):
+        got = {r.target_flow_id: tuple(r)[1:] for r in cx.source_window(cohort, ends, protocol, n).collect()}
+        assert got.keys() == {g[0] for g in given if g[1] == protocol}
+        for k, p, *_, start, end, source in given:
+            if p != protocol:
+                continue
+            near = [r for r in seen if r["protocol"] == p and r["context_source_ip"] == source and start - n <= r["timestamp"] <= end + n]
+            out = [r for r in near if r["outbound"]]
+            flags = []
+            if p == 6:
+                inn = [r for r in near if r["inbound"]]
+                flags = [sum(r["tcp_flags"] & 18 == 2 for r in out), sum(r["tcp_flags"] & 18 == 18 for r in inn)]
+                flags += [sum(bool(r["tcp_flags"] & bit) for r in side) for bit in (4, 1) for side in (out, inn)]
+            unique = [len({r["dst_ip"] for r in out}), len({r["dst_port"] for r in out}), len({(r["dst_ip"], r["dst_port"]) for r in out})]
+            assert got[k] == (len(near), *flags, *unique), (k, n)
+
+
+def test_windows_of_a_hot_source(spark):
+    """A source with many packets to few destinations: flows meet destinations of buckets, not packets."""
+    flows, packets = 200, 3000
+    cohort = cohort_of(spark, [[k, 6, 1, k, 2, 80, START, END, "h1"] for k in range(flows)])
+    ends = endpoints(spark, [packet(k, START + k / packets, 1, 5, 2 + k % 3, 80, flags=2) for k in range(packets)])
+    assert {tuple(r)[1:] for r in cx.source_window(cohort, ends, 6, 60).collect()} == {(packets, packets, 0, 0, 0, 0, 0, 3, 1, 3)}
+    assert cx.destinations(ends).count() == 3  # in one bucket
+    plan = cx.source_window(cohort, ends, 6, 60)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
