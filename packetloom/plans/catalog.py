@@ -96,9 +96,8 @@ def context_by_packet_count(spark: SparkSession, d: str) -> DataFrame:
     return context_result(spark, d).groupBy("observed_packet_count").agg(F.count("*").alias("flows"), *sums)
 
 
-def observation_conformance(spark: SparkSession, d: str) -> DataFrame:
+def _conformance(cohort: DataFrame, routed: DataFrame, retained: DataFrame) -> DataFrame:
     """Rules that kept packets must meet, with the number of rows that break each."""
-    cohort, routed, retained = _cohort(spark, d), _routed(spark, d), _retained(spark, d)
     again = ro.retain_source_context(retained, cohort)
     keys = cohort.select("target_flow_id", *KEY)
     wrong_key = with_key(routed).join(keys.withColumn("known", F.lit(True)), ["target_flow_id", *KEY], "left").agg(F.count_if(F.col("known").isNull()).alias("n"))
@@ -116,11 +115,51 @@ def observation_conformance(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def observation_conformance(spark: SparkSession, d: str) -> DataFrame:
+    return _conformance(_cohort(spark, d), _routed(spark, d), _retained(spark, d))
+
+
+# Damage, by rules that SQL can repeat: what validators must find.
+_DAMAGED_FLOW = {
+    "packet_count": ("flow_id % 11 = 0", "0"), "protocol": ("flow_id % 19 = 0", "99"), "duration": ("flow_id % 7 = 0", "duration + 1"),
+    "initial_syn_sender_port": ("flow_id % 5 = 0", "NULL"), "dst_port": ("flow_id % 13 = 0", "70000"), "flow_id": ("flow_id % 17 = 0", "1"),
+}
+_DAMAGED_COHORT = {"target_start_time": ("target_flow_id % 6 = 0", "target_start_time + 1")}
+_DAMAGED_INTERVAL = {"target_end_time": ("target_flow_id % 8 = 0", "target_start_time - 1")}
+_DAMAGED_ROUTE = {"target_flow_id": ("packet_index % 10 = 0", "target_flow_id + 1"), "timestamp": ("packet_index % 12 = 0", "CAST('NaN' AS DOUBLE)")}
+_DAMAGED_PACKET = {"timestamp": ("packet_index % 14 = 0", "CAST('Infinity' AS DOUBLE)")}
+
+
+def _cases(rules: dict[str, tuple[str, str]]) -> dict[str, str]:
+    return {c: f"CASE WHEN {when} THEN {value} ELSE {c} END" for c, (when, value) in rules.items()}
+
+
+def _damaged(df: DataFrame, rules: dict[str, tuple[str, str]]) -> DataFrame:
+    return df.withColumns({c: F.expr(case) for c, case in _cases(rules).items()})
+
+
+def _damaged_sql(rules: dict[str, tuple[str, str]], table: str) -> str:
+    return f"(SELECT * REPLACE ({', '.join(f'{case} AS {c}' for c, case in _cases(rules).items())}) FROM {table})"
+
+
+def conformance_damaged(spark: SparkSession, d: str) -> DataFrame:
+    """The rules over packets of wrong flows, times that are not finite, and packets that should not have been kept."""
+    stray = _packets(spark, d).where("packet_index % 50 = 0")
+    retained = _retained(spark, d)
+    return _conformance(_cohort(spark, d), _damaged(_routed(spark, d), _DAMAGED_ROUTE), _damaged(retained.unionByName(stray.select(*retained.columns)), _DAMAGED_PACKET))
+
+
+def conflicts_damaged(spark: SparkSession, d: str) -> DataFrame:
+    """Conflicts where some ids are one and some keys have a further id."""
+    rows = _cohort(spark, d).select("target_flow_id", *KEY)
+    merged = rows.withColumn("target_flow_id", F.expr("target_flow_id - target_flow_id % 4"))
+    return co.index_conflicts(merged.unionByName(rows.where("target_flow_id % 9 = 0").withColumn("target_flow_id", F.expr("target_flow_id + 1000000"))))
+
+
 def cohort_recomputed(spark: SparkSession, d: str) -> DataFrame:
-    """Rows in which a stored cohort and one computed anew from its flows differ, counted on either side (both 0)."""
-    flows = _flows(spark, d)
-    stored = co.select_cohort(flows, COUNTS).select(*co.COHORT_COLUMNS)
-    again = co.select_cohort(fl.flow_table(_target(spark, d), keys=True), COUNTS).select(*co.COHORT_COLUMNS)
+    """Rows in which a stored cohort (damaged here: rows are lost, times changed) and one computed anew differ, counted on either side."""
+    again = _cohort(spark, d).select(*co.COHORT_COLUMNS)
+    stored = _damaged(again.where("target_flow_id % 10 <> 0"), _DAMAGED_COHORT)
     counted = lambda df, n: df.groupBy(*co.COHORT_COLUMNS).agg(F.count("*").alias(n))
     a, b = counted(stored, "na").alias("a"), counted(again, "nb").alias("b")
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in co.COHORT_COLUMNS]
@@ -128,6 +167,10 @@ def cohort_recomputed(spark: SparkSession, d: str) -> DataFrame:
     return joined.agg(F.count_if(F.coalesce("na", F.lit(0)) != F.coalesce("nb", F.lit(0))).alias("differences"), F.count("*").alias("rows"))
 
 
+def _varied(spark: SparkSession, d: str) -> DataFrame:
+    return decode_table(standin.varied_frames(_packets(spark, d)))
+
+
 def _ports_as_text(df: DataFrame) -> DataFrame:
     """Nullable ports as text, which every reader shows alike."""
     return df.withColumns({c: F.col(c).cast("string") for c in _SYN_PORTS})
@@ -138,14 +181,19 @@ QUERIES: dict[str, Query] = {
     "bidirectional_key": bidirectional_key,
     "packet_decode": lambda spark, d: decode_table(standin.frames(_packets(spark, d))).where("skip_reason is null").select("packet_index", *_DECODED),
     "skip_counts": lambda spark, d: decode_table(standin.frames(_packets(spark, d))).where("skip_reason is not null").groupBy("skip_reason").agg(F.count("*").alias("n")),
+    "packet_decode_varied": lambda spark, d: _varied(spark, d).where("skip_reason is null").select("packet_index", "ip_total_length", *_DECODED),
+    "skip_counts_varied": lambda spark, d: _varied(spark, d).where("skip_reason is not null").groupBy("skip_reason").agg(F.count("*").alias("n")),
     "flow_table": lambda spark, d: fl.flow_table(_target(spark, d)).select(*(c for c in fl.FLOW_COLUMNS if not c.startswith("initial_syn"))),
     "flow_initial_syn": lambda spark, d: _ports_as_text(fl.flow_table(_target(spark, d)).select("flow_id", *fl.FLOW_COLUMNS[15:])),
     "flow_counts": flow_counts,
     "flow_validation": lambda spark, d: fl.flow_violations(fl.flow_table(_target(spark, d))),
+    "flow_validation_damaged": lambda spark, d: fl.flow_violations(_damaged(fl.flow_table(_target(spark, d)), _DAMAGED_FLOW)),
     "cohort_select": lambda spark, d: _ports_as_text(_cohort(spark, d).select(*co.COHORT_COLUMNS)),
     "context_source": context_source,
     "index_conflicts": lambda spark, d: co.index_conflicts(_cohort(spark, d)),
     "reversed_interval_check": lambda spark, d: co.reversed_intervals(_cohort(spark, d)),
+    "reversed_interval_damaged": lambda spark, d: co.reversed_intervals(_damaged(_cohort(spark, d), _DAMAGED_INTERVAL)),
+    "index_conflicts_damaged": conflicts_damaged,
     "cohort_recomputed": cohort_recomputed,
     "target_routing": lambda spark, d: _routed(spark, d).select("target_flow_id", *_PACKET, *_LENGTHS),
     "source_retention_tcp": lambda spark, d: _retained(spark, d).where(F.col("protocol") == TCP).select(*_PACKET, *_LENGTHS),
@@ -153,6 +201,7 @@ QUERIES: dict[str, Query] = {
     "distinct_sources": lambda spark, d: ro.candidate_sources(_cohort(spark, d)),
     "endpoint_expansion": lambda spark, d: _endpoints(spark, d).select("packet_index", "protocol", "context_source_ip", "outbound", "inbound"),
     "observation_conformance": observation_conformance,
+    "observation_conformance_damaged": conformance_damaged,
     "tuple_partition_counts": _tuple(*_PARTITION),
     "tuple_neighbors": _tuple(*_NEIGHBOURS),
     "tuple_horizon_counts": _tuple(*_HORIZON),
@@ -264,6 +313,35 @@ def _context_sql() -> str:
     return f", {', '.join(parts)} SELECT {', '.join(fields)} FROM cohort c {' '.join(joins)}"
 
 
+def _flow_rules_sql(table: str) -> str:
+    return f"""SELECT count(*) FILTER (flow_id <= 0 OR packet_count <= 0) AS bad_ids_or_counts, count(*) FILTER (protocol NOT IN (6, 17) OR ip_version NOT IN (4, 6)) AS bad_protocols,
+count(*) FILTER (NOT (isfinite(start_time) AND isfinite(end_time) AND isfinite(duration)) OR duration != end_time - start_time) AS bad_intervals,
+count(*) FILTER ((initial_syn_sender_ip IS NULL) != (initial_syn_sender_port IS NULL) OR (initial_syn_receiver_ip IS NULL) != (initial_syn_receiver_port IS NULL)) AS partial_syn,
+count(*) FILTER (src_port NOT BETWEEN 0 AND 65535 OR dst_port NOT BETWEEN 0 AND 65535) AS bad_ports,
+(SELECT count(*) FROM (SELECT 1 FROM {table} GROUP BY flow_id HAVING count(*) > 1)) AS duplicate_ids FROM {table}"""
+
+
+def _conflicts_sql(table: str) -> str:
+    return f"""SELECT 'key_with_ids' AS conflict, count(*) AS n FROM (SELECT 1 FROM {table} GROUP BY key_a, key_b, protocol HAVING count(DISTINCT target_flow_id) > 1)
+UNION ALL SELECT 'id_with_keys', count(*) FROM (SELECT 1 FROM {table} GROUP BY target_flow_id HAVING count(DISTINCT (key_a, key_b, protocol)) > 1)"""
+
+
+def _reversed_sql(table: str) -> str:
+    return f"SELECT target_flow_id, target_start_time, target_end_time FROM {table} WHERE target_start_time > target_end_time"
+
+
+def _conformance_sql(routed: str, retained: str) -> str:
+    return f"""SELECT 'target_key_mismatch' AS rule, count(*) FILTER (c.target_flow_id IS NULL) AS n FROM {routed} r LEFT JOIN cohort c USING (target_flow_id, key_a, key_b, protocol)
+UNION ALL SELECT 'target_time_not_finite', count(*) FILTER (NOT isfinite(timestamp)) FROM {routed} UNION ALL SELECT 'source_time_not_finite', count(*) FILTER (NOT isfinite(timestamp)) FROM {retained}
+UNION ALL SELECT 'source_not_retained', count(*) FROM {retained} WHERE NOT ((protocol = 17 AND src_ip IN (FROM sources))
+OR (protocol = 6 AND (tcp_flags & 7) != 0 AND (src_ip IN (FROM sources) OR dst_ip IN (FROM sources))))"""
+
+
+_six = lambda c: f"CASE WHEN {standin.SIX_SQL} THEN '2001:db8::' || format('{{:x}}', {c}_addr) ELSE {c}_ip END AS {c}_ip"
+_VARIED_SQL = f"""SELECT packet_index, CASE WHEN {standin.SIX_SQL} THEN 40 ELSE 20 END + {standin.EXTRA_SQL} + CASE protocol WHEN 6 THEN 20 ELSE 8 END + transport_payload_length AS ip_total_length,
+CASE WHEN {standin.SIX_SQL} THEN 6 ELSE 4 END AS ip_version, protocol, {_six('src')}, src_port, {_six('dst')}, dst_port, transport_payload_length, tcp_flags
+FROM packets WHERE {standin.VARIED_SQL} IS NULL"""
+
 _FLOW_FIELDS = ", ".join(c for c in fl.FLOW_COLUMNS if not c.startswith("initial_syn"))
 _SUMMED = [c for c in cx.RESULT_COLUMNS if c.endswith(("_count", "_24h", "_60s", "_300s")) and c != "observed_packet_count"]
 _text = lambda columns: ", ".join(f"CAST({c} AS VARCHAR) AS {c}" if c in _SYN_PORTS else c for c in columns)
@@ -278,27 +356,34 @@ CAST({standin.BASE_US // 1_000_000} + 900 * k AS BIGINT) AS start_time FROM rang
             "bidirectional_key": "SELECT packet_index, protocol, key_a[1] AS a_addr, key_a[2] AS a_port, key_b[1] AS b_addr, key_b[2] AS b_port FROM keyed",
             "packet_decode": f"SELECT packet_index, {', '.join(_DECODED)} FROM packets WHERE {standin.SKIPS_SQL} IS NULL",
             "skip_counts": f"SELECT {standin.SKIPS_SQL} AS skip_reason, count(*) AS n FROM packets WHERE {standin.SKIPS_SQL} IS NOT NULL GROUP BY 1",
+            "packet_decode_varied": _VARIED_SQL,
+            "skip_counts_varied": f"SELECT {standin.VARIED_SQL} AS skip_reason, count(*) AS n FROM packets WHERE {standin.VARIED_SQL} IS NOT NULL GROUP BY 1",
             "flow_table": f"SELECT {_FLOW_FIELDS} FROM flows",
             "flow_initial_syn": f"SELECT flow_id, {_text(fl.FLOW_COLUMNS[15:])} FROM flows",
             "flow_counts": "SELECT packet_count, count(*) AS flows FROM flows GROUP BY packet_count",
-            "flow_validation": "SELECT count(*) FILTER (flow_id <= 0 OR packet_count <= 0) AS bad_ids_or_counts, count(*) FILTER (protocol NOT IN (6, 17) OR ip_version NOT IN (4, 6)) AS bad_protocols, "
-            "count(*) FILTER (NOT (isfinite(start_time) AND isfinite(end_time) AND isfinite(duration)) OR duration != end_time - start_time) AS bad_intervals, "
-            "count(*) FILTER ((initial_syn_sender_ip IS NULL) != (initial_syn_sender_port IS NULL) OR (initial_syn_receiver_ip IS NULL) != (initial_syn_receiver_port IS NULL)) AS partial_syn, "
-            "count(*) FILTER (src_port NOT BETWEEN 0 AND 65535 OR dst_port NOT BETWEEN 0 AND 65535) AS bad_ports, count(*) - count(DISTINCT flow_id) AS duplicate_ids FROM flows",
+            "flow_validation": _flow_rules_sql("flows"),
+            "flow_validation_damaged": _flow_rules_sql(_damaged_sql(_DAMAGED_FLOW, "flows")),
             "cohort_select": f"SELECT {_text(co.COHORT_COLUMNS)} FROM cohort",
             "context_source": "SELECT protocol, context_source_basis, count(*) AS flows, count(DISTINCT context_source_ip) AS sources FROM cohort GROUP BY ALL",
-            "index_conflicts": "SELECT 'key_with_ids' AS conflict, count(*) AS n FROM (SELECT 1 FROM cohort GROUP BY key_a, key_b, protocol HAVING count(DISTINCT target_flow_id) > 1) "
-            "UNION ALL SELECT 'id_with_keys', count(*) FROM (SELECT 1 FROM cohort GROUP BY target_flow_id HAVING count(DISTINCT (key_a, key_b, protocol)) > 1)",
-            "reversed_interval_check": "SELECT target_flow_id, target_start_time, target_end_time FROM cohort WHERE target_start_time > target_end_time",
-            "cohort_recomputed": "SELECT CAST(0 AS BIGINT) AS differences, count(*) AS rows FROM cohort",
+            "index_conflicts": _conflicts_sql("cohort"),
+            "index_conflicts_damaged": _conflicts_sql(
+                "(SELECT target_flow_id - target_flow_id % 4 AS target_flow_id, key_a, key_b, protocol FROM cohort "
+                "UNION ALL SELECT target_flow_id + 1000000, key_a, key_b, protocol FROM cohort WHERE target_flow_id % 9 = 0)"
+            ),
+            "reversed_interval_check": _reversed_sql("cohort"),
+            "reversed_interval_damaged": _reversed_sql(_damaged_sql(_DAMAGED_INTERVAL, "cohort")),
+            "cohort_recomputed": f"SELECT count(*) FILTER (na != nb) AS differences, count(*) AS rows FROM (SELECT {', '.join(co.COHORT_COLUMNS)}, sum(a) AS na, sum(b) AS nb "
+            f"FROM (SELECT {', '.join(co.COHORT_COLUMNS)}, 1 AS a, 0 AS b FROM {_damaged_sql(_DAMAGED_COHORT, '(FROM cohort WHERE target_flow_id % 10 != 0)')} "
+            f"UNION ALL SELECT {', '.join(co.COHORT_COLUMNS)}, 0, 1 FROM cohort) GROUP BY {', '.join(co.COHORT_COLUMNS)})",
             "target_routing": f"SELECT target_flow_id, {_PACKET_FIELDS} FROM routed",
             "source_retention_tcp": f"SELECT {_PACKET_FIELDS} FROM retained WHERE protocol = 6",
             "source_retention_udp": f"SELECT {_PACKET_FIELDS} FROM retained WHERE protocol = 17",
             "distinct_sources": "SELECT ip AS context_source_ip FROM sources",
             "endpoint_expansion": "SELECT packet_index, protocol, context_source_ip, outbound, inbound FROM endpoints",
-            "observation_conformance": "SELECT 'target_key_mismatch' AS rule, count(*) FILTER (c.target_flow_id IS NULL) AS n FROM routed r LEFT JOIN cohort c USING (target_flow_id, key_a, key_b, protocol) "
-            "UNION ALL SELECT 'target_time_not_finite', count(*) FILTER (NOT isfinite(timestamp)) FROM routed UNION ALL SELECT 'source_time_not_finite', count(*) FILTER (NOT isfinite(timestamp)) FROM retained "
-            "UNION ALL SELECT 'source_not_retained', count(*) FROM retained WHERE src_ip NOT IN (FROM sources) AND (protocol = 17 OR dst_ip NOT IN (FROM sources))",
+            "observation_conformance": _conformance_sql("routed", "retained"),
+            "observation_conformance_damaged": _conformance_sql(
+                _damaged_sql(_DAMAGED_ROUTE, "routed"), _damaged_sql(_DAMAGED_PACKET, "(FROM retained UNION ALL FROM packets WHERE packet_index % 50 = 0)")
+            ),
             "tuple_partition_counts": _tuple_sql(_PARTITION),
             "tuple_neighbors": _tuple_sql(_NEIGHBOURS),
             "tuple_horizon_counts": _tuple_sql(_HORIZON),

@@ -69,6 +69,47 @@ def frames(packets: DataFrame) -> DataFrame:
     return packets.select("packet_index", F.unhex(text).alias("frame"), (34 + header).cast("long").alias("captured_frame_length"), (14 + total).alias("original_frame_length"))
 
 
+def varied_frames(packets: DataFrame) -> DataFrame:
+    """Frames with tags, IPv6, extension headers and the damage of VARIED_SQL, by packet_index modulo 16."""
+    number = lambda c, size: F.lpad(F.hex(c.cast("long")), 2 * size, "0")
+    kind = F.col("packet_index") % 16
+    tcp, six = F.col("protocol") == 6, kind.isin(2, 3, 4, 5, 6, 7, 11)
+    proto, payload = number(F.col("protocol"), 1), F.col("transport_payload_length")
+    header = F.when(tcp, 20).otherwise(8)
+    tags = F.when(kind == 0, "81000001").when(kind == 1, "88A8000181000002").otherwise("")
+    # Hop-by-hop and destination options; fragments; authentication headers.
+    following = F.when(kind == 3, "00").when(kind.isin(4, 5), "2C").when(kind.isin(6, 7), "33").otherwise(proto)
+    more = F.when(kind == 3, F.concat(F.lit("3C00" + "00" * 6), proto, F.lit("01" + "00" * 14)))
+    more = more.when(kind == 4, F.concat(proto, F.lit("00" + "0008" + "00" * 4))).when(kind == 5, F.concat(proto, F.lit("00" + "0000" + "00" * 4)))
+    more = more.when(kind == 6, F.concat(proto, F.lit("02" + "00" * 14))).when(kind == 7, F.concat(proto, F.lit("00" + "00" * 6))).otherwise("")
+    inner = F.length(more) / 2 + header + payload
+    wide = lambda c: F.concat(F.lit("20010DB8" + "00" * 8), number(F.col(c), 4))
+    ipv6 = F.concat(F.lit("60000000"), number(inner + F.when(kind == 11, 1000).otherwise(0), 2), following, F.lit("40"), wide("src_addr"), wide("dst_addr"), more)
+    first = F.when(kind == 8, "65").when(kind == 9, "44").when(kind == 15, "46").otherwise("45")
+    options = F.when(kind == 15, "00" * 4).otherwise("")
+    total = 20 + F.length(options) / 2 + header + payload
+    declared = F.when(kind == 10, total + 1000).when(kind == 14, 24).otherwise(total)
+    address = lambda c: F.concat(F.lit("0A00"), number(F.col(c), 2))
+    ipv4 = F.concat(first, F.lit("00"), number(declared, 2), F.lit("0000400040"), proto, F.lit("0000"), address("src_addr"), address("dst_addr"), options)
+    ports = F.concat(number(F.col("src_port"), 2), number(F.col("dst_port"), 2))
+    short = kind == 12
+    body = F.when(tcp, F.concat(ports, F.lit("00" * 8), F.when(short, "40").otherwise("50"), number(F.col("tcp_flags"), 1), F.lit("00" * 6))).otherwise(
+        F.concat(ports, number(F.when(short, 7).otherwise(8 + payload), 2), F.lit("0000"))
+    )
+    text = F.concat(F.lit("00" * 12), tags, F.when(six, "86DD").otherwise("0800"), F.when(six, ipv6).otherwise(ipv4), body)
+    text = F.when(kind == 13, F.substring(text, 1, 60)).otherwise(text)
+    original = 14 + F.length(tags) / 2 + F.when(six, 40 + inner).otherwise(total)
+    return packets.select("packet_index", F.unhex(text).alias("frame"), (F.length(text) / 2).cast("long").alias("captured_frame_length"), original.cast("long").alias("original_frame_length"))
+
+
+#: Kinds of frames that cannot be decoded; all other kinds can.
+VARIED_SQL = """CASE packet_index % 16 WHEN 4 THEN 'ip_fragment' WHEN 7 THEN 'malformed_ipv6_authentication_header_length' WHEN 8 THEN 'ethernet_ip_version_mismatch'
+WHEN 9 THEN 'malformed_ipv4_length' WHEN 10 THEN 'ipv4_length_exceeds_original_frame_length' WHEN 11 THEN 'ipv6_length_exceeds_original_frame_length'
+WHEN 12 THEN CASE protocol WHEN 6 THEN 'malformed_tcp_header_length' ELSE 'malformed_udp_length' END WHEN 13 THEN 'capture_truncated_undecodable'
+WHEN 14 THEN 'packet_header_exceeds_declared_length' END"""
+SIX_SQL = "packet_index % 16 IN (2, 3, 5, 6)"
+EXTRA_SQL = "CASE packet_index % 16 WHEN 3 THEN 24 WHEN 5 THEN 8 WHEN 6 THEN 16 WHEN 15 THEN 4 ELSE 0 END"
+
 SKIPS_SQL = "CASE WHEN packet_index % 53 = 0 THEN 'non_ip' WHEN packet_index % 51 = 0 THEN 'ip_fragment' WHEN packet_index % 50 = 0 THEN 'non_tcp_udp' END"
 PACKETS_SQL = f"""
 e0 AS (
