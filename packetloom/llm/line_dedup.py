@@ -6,10 +6,10 @@ earlier (smaller doc_id, or the same document and an earlier line); lines are ju
 
 A line of length l is cut into EDITS + 1 segments. A line within EDITS edits holds one of them whole, near its own place, so
 each line probes, for its own length and each shorter one in reach, the substrings that the multi-match-aware bounds
-leave. Segments and probes meet by hash in buckets; lines that meet are linked to the smallest of them, and the components of
-these links are the groups within which the join is carried out exactly, in blocks of at most BLOCK lines a side:
-candidates by the same segments, verified by banded bit-parallel edit distance, many pairs at once. A block gives each line's number of
-near lines and the earliest place of them, not a row for each pair.
+leave. Segments and probes meet by hash in buckets. The lines of a key, and no wider group, are compared with each other: those with
+the segment with those that probe for it, in units of at most BLOCK lines a side. A pair is verified in the unit of the first
+segment that it shares: by its counts of characters, then by banded bit-parallel edit distance, many pairs at once. A unit gives each
+line's number of near lines and the earliest place of them, not a row for each pair.
 
 Defined cases: a null text has no lines; equal rows get equal results; a null doc_id comes before all others; rows with
 the same doc_id are one document in the order, so neither is earlier than the other at the same line number, but each has its own
@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .components import components
 from .shared import buckets, cut, keyed
 
 EDITS, MIN_CHARS = 2, 20
@@ -63,38 +62,46 @@ class Lines:
         return tk.span_hashes(self.sums, _POINTS, self.starts, self.ends)
 
 
-def entries(sums: np.ndarray, starts: np.ndarray, length: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the segments and probes of lines: (line, key, is a segment). Equal keys: number, length and text of a segment."""
-    out: list[tuple[np.ndarray, np.ndarray, bool]] = []
+def _segment(size: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of segment i (from 0) of lines of a size; the last ones are longer."""
     parts = edits + 1
+    short, longer = size // parts, size % parts
+    extra = np.maximum(0, i - (parts - longer))
+    return i * short + extra, short + (i >= parts - longer)
 
-    def segment(size: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Start and length of segment i (from 0) of lines of a size; the last ones are longer."""
-        short, longer = size // parts, size % parts
-        extra = np.maximum(0, i - (parts - longer))
-        return i * short + extra, short + (i >= parts - longer)
+
+def _reach(at: np.ndarray, width: np.ndarray, i: int, shorter: np.ndarray | int, length: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place at which a line looks for segment i, which lies `at` in a line that is `shorter` by so much."""
+    low = np.maximum(np.maximum(at - i, at + shorter - (edits - i)), 0)
+    return low, np.minimum(np.minimum(at + i, at + shorter + (edits - i)), length - width)
+
+
+def entries(sums: np.ndarray, starts: np.ndarray, length: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the segments and probes of lines: (line, key, is a segment, segment's number). Equal keys: number, length and text of a segment."""
+    out: list[tuple[np.ndarray, np.ndarray, bool, int]] = []
+    parts = edits + 1
 
     def add(lines: np.ndarray, at: np.ndarray, width: np.ndarray, size: np.ndarray, i: int, own: bool) -> None:
         h = tk.span_hashes(sums, _POINTS, starts[lines] + at, starts[lines] + at + width)
-        out.append((lines, tk.mix(h ^ tk.mix(size.astype(np.uint64) * np.uint64(64) + np.uint64(i))), own))
+        out.append((lines, tk.mix(h ^ tk.mix(size.astype(np.uint64) * np.uint64(64) + np.uint64(i))), own, i))
 
     every = np.arange(len(starts))
     for i in range(parts):
-        at, width = segment(length, i)
+        at, width = _segment(length, i, edits)
         add(every, at, width, length, i, True)
     for shorter in range(parts):
         size = length - shorter
         for i in range(parts):
-            at, width = segment(size, i)
-            low = np.maximum(np.maximum(at - i, at + shorter - (edits - i)), 0)
-            high = np.minimum(np.minimum(at + i, at + shorter + (edits - i)), length - width)
+            at, width = _segment(size, i, edits)
+            low, high = _reach(at, width, i, shorter, length, edits)
             for step in range(-edits, edits + 1):
                 place = at + step
                 ok = np.flatnonzero((place >= low) & (place <= high))
                 if len(ok):
                     add(ok, place[ok], width[ok], size[ok], i, False)
     lines, keys = (np.concatenate([x[k] for x in out]) for k in (0, 1))
-    return lines, keys, np.concatenate([np.full(len(x[0]), x[2]) for x in out])
+    own, number = (np.repeat([x[k] for x in out], [len(x[0]) for x in out]) for k in (2, 3))
+    return lines, keys, own, number
 
 
 def within(points: np.ndarray, a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, edits: int) -> np.ndarray:
@@ -143,18 +150,20 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(edits: int, min_chars: int, n: int):
-    """Segments and probes of the distinct lines of a chunk, packed by bucket: 40 bits of the key and the line's hash."""
+    """Segments and probes of the distinct lines of a chunk, packed by bucket and in it by kind: 40 bits of the key and the line's hash."""
     out = pa.schema([("place", pa.int32()), ("data", pa.binary())])
+    kinds = 2 * (edits + 1)
 
     def flush(parts: list) -> Iterator[pa.RecordBatch]:
-        key, line = (np.concatenate(x) for x in zip(*parts, strict=True))
-        place = ((key & np.uint64(0xFFFFFF)) % np.uint64(n)).astype(np.int32)
-        order = np.lexsort((line, place))
-        ends = np.cumsum(np.bincount(place, minlength=n))
-        for p in np.unique(place).tolist():
+        key, line, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
+        dealt = ((key & np.uint64(0xFFFFFF)) % np.uint64(n)).astype(np.int64) * kinds + kind
+        order = np.argsort(dealt.astype(np.uint16) if n * kinds <= 1 << 16 else dealt, kind="stable")
+        sizes = np.bincount(dealt, minlength=n * kinds).reshape(n, kinds)
+        ends = np.cumsum(sizes.sum(axis=1))
+        for p in np.flatnonzero(sizes.any(axis=1)).tolist():
             at = order[ends[p - 1] if p else 0 : ends[p]]
             short = (key[at] >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
-            data = np.int64(len(at)).tobytes() + short.tobytes() + line[at].tobytes()
+            data = sizes[p].astype(np.int64).tobytes() + short.tobytes() + line[at].tobytes()
             yield pa.RecordBatch.from_pydict({"place": [p], "data": [data]}, schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +177,8 @@ def _packed(edits: int, min_chars: int, n: int):
                 h, at = h[ok], at[ok]
                 if not len(h):
                     continue
-                who, key, _ = entries(lines.sums, lines.starts[at], length[at], edits)
-                parts.append((key, h[who]))
+                who, key, own, number = entries(lines.sums, lines.starts[at], length[at], edits)
+                parts.append((key, h[who], number * 2 + own))
                 held += len(key)
                 if held >= CHUNK:
                     yield from flush(parts)
@@ -180,80 +189,156 @@ def _packed(edits: int, min_chars: int, n: int):
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets to links (a, b) of each line to the smallest of those that share a key."""
-    data: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for place, packed in zip(batch.column("place").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            data.setdefault(place, []).append(packed)
-    for place in sorted(data):
-        keys, lines = [], []
-        for packed in data.pop(place):
-            n = int(np.frombuffer(packed, np.int64, 1)[0])
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(packed, np.uint8, 5 * n, 8).reshape(n, 5)
-            keys.append(wide.view(np.uint64).reshape(n))
-            lines.append(np.frombuffer(packed, np.int64, n, 8 + 5 * n))
-        key, line = np.concatenate(keys), np.concatenate(lines)
-        order = np.argsort(key)
-        key, line = key[order], line[order]
-        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        low = np.repeat(np.minimum.reduceat(line, new), np.diff(np.append(new, len(key))))
-        other = line != low
-        pairs = np.unique(np.stack([line[other], low[other]]), axis=1)
-        for a in range(0, pairs.shape[1], 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0, a : a + 50_000]), pa.array(pairs[1, a : a + 50_000])], names=["a", "b"])
-
-
-def near_pairs(lines: list[str], edits: int, group: np.ndarray | None = None, side: np.ndarray | None = None) -> np.ndarray:
-    """Pairs of lines (2 x n, indexes) within `edits` edits, of one group and of different sides where those are given."""
+#: What a line is in a unit: one with the segment, one that probes for it, or both.
+SEGMENT, PROBE = 1, 2
+
+
+def meetings(key: np.ndarray, line: np.ndarray, own: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Entries to units of lines that are to be compared: (key, i, j, line, what it is there).
+
+    In a unit are block i of the key's lines with the segment and block j of those that probe for it. Lines with a segment probe for it too.
+    """
+    starts = lambda *x: np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in x], axis=0)]))
+    if not len(key):
+        return
+    order = np.argsort(key)
+    key, line, own = key[order], line[order], own[order]
+    new = starts(key)
+    live = np.logical_or.reduceat(own, new) & (np.minimum.reduceat(line, new) != np.maximum.reduceat(line, new))
+    keep = np.repeat(live, np.diff(np.append(new, len(key))))
+    key, line, own = key[keep], line[keep], own[keep]
+    if not len(key):
+        return
+    order = np.lexsort((~own, line, key))
+    key, line, own = key[order], line[order], own[order]
+    once = starts(key, line)
+    key, line, own = key[once], line[once], own[once]
+    new = starts(key)
+    sizes = np.diff(np.append(new, len(key)))
+    small = np.repeat(sizes <= block, sizes)
+    none = np.zeros(int(small.sum()), np.int64)
+    yield key[small], none, none, line[small], PROBE + SEGMENT * own[small]
+    for a, size in zip(new[sizes > block].tolist(), sizes[sizes > block].tolist(), strict=True):
+        segments = np.flatnonzero(own[a : a + size])
+        for i in range(0, len(segments), block):
+            for j in range(0, size, block):
+                what = np.zeros(size, np.int64)
+                what[j : j + block] = PROBE
+                what[segments[i : i + block]] += SEGMENT
+                at = np.flatnonzero(what)
+                yield key[a + at], np.full(len(at), i // block), np.full(len(at), j // block), line[a + at], what[at]
+
+
+def _met(edits: int, block: int):
+    """Buckets to units; the id of a key has its bucket, the number of the segment and 40 bits of the key."""
+    kinds = 2 * (edits + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for place, packed in zip(batch.column("place").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                data.setdefault(place, []).append(packed)
+        for place in sorted(data):
+            keys, lines, owns = [], [], []
+            for packed in data.pop(place):
+                sizes = np.frombuffer(packed, np.int64, kinds)
+                n = int(sizes.sum())
+                wide = np.zeros((n, 8), np.uint8)
+                wide[:, :5] = np.frombuffer(packed, np.uint8, 5 * n, 8 * kinds).reshape(n, 5)
+                kind = np.repeat(np.arange(kinds), sizes)
+                keys.append(wide.view(np.int64).reshape(n) + ((place * (edits + 1) + kind // 2) << 40))
+                lines.append(np.frombuffer(packed, np.int64, n, 8 * kinds + 5 * n))
+                owns.append(kind % 2 == 1)
+            for found in meetings(np.concatenate(keys), np.concatenate(lines), np.concatenate(owns), block):
+                for a in range(0, len(found[0]), 50_000):
+                    key, i, j, line, what = (x[a : a + 50_000] for x in found)
+                    number = (key >> 40) % (edits + 1)
+                    columns = [key, i.astype(np.int32), j.astype(np.int32), line, what.astype(np.int32), number.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["unit", "i", "j", "node", "what", "number"])
+
+    return run
+
+
+#: Pairs that are compared at once, and characters told apart by a first comparison.
+PAIRS, BINS = 1 << 18, 32
+
+
+def first_shared(sums: np.ndarray, starts: np.ndarray, length: np.ndarray, a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
+    """Number of the first segment of line a that line b, as long or longer, holds in reach; edits + 1 if there is none."""
+    out = np.full(len(a), edits + 1)
+    for i in range(edits, -1, -1):
+        at, width = _segment(length[a], i, edits)
+        low, high = _reach(at, width, i, length[b] - length[a], length[b], edits)
+        sought = tk.span_hashes(sums, _POINTS, starts[a] + at, starts[a] + at + width)
+        for step in range(-edits, edits + 1):
+            k = np.flatnonzero((at + step >= low) & (at + step <= high))
+            place = starts[b[k]] + at[k] + step
+            out[k[tk.span_hashes(sums, _POINTS, place, place + width[k]) == sought[k]]] = i
+    return out
+
+
+def near_in_units(lines: list[str], unit: np.ndarray, node: np.ndarray, what: np.ndarray, number: np.ndarray, edits: int) -> np.ndarray:
+    """Pairs of rows (2 x n, indexes) within `edits` edits; rows are lines in units, in ascending order of these; number: the segment of a unit.
+
+    A pair is found in the unit of the first segment that it shares only: one of the shorter line, or if both are as long, of that with the smaller node.
+    """
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     length = np.array([len(x) for x in lines], np.int64)
     starts = np.cumsum(length) - length
-    who, key, own = entries(tk.prefix_sums(tk.mix(points.astype(np.uint64)), _POINTS), starts, length, edits)
-    if group is not None:
-        key = tk.mix(key ^ tk.mix(group[who].astype(np.uint64) + np.uint64(1)))
-    order = np.lexsort((own, key))
-    who, key, own = who[order], key[order], own[order]
-    # Every probe of a key meets every segment of it, which come last.
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(new, len(key)))
-    segments = np.add.reduceat(own.astype(np.int64), new) if len(new) else sizes
-    several = np.flatnonzero((segments > 0) & (sizes > segments) & (sizes > 2))
-    found = []
-    for g in several.tolist():
-        a, c, z = new[g], new[g] + sizes[g] - segments[g], new[g] + sizes[g]
-        left, right = np.repeat(who[a:c], z - c), np.tile(who[c:z], c - a)
-        ok = left != right
-        if side is not None:
-            ok &= side[left] != side[right]
-        if ok.any():
-            pair = np.stack([np.minimum(left[ok], right[ok]), np.maximum(left[ok], right[ok])])
-            found.append(pair[0] * len(lines) + pair[1])
-    if not found:
+    sums = tk.prefix_sums(tk.mix(points.astype(np.uint64)), _POINTS)
+    bins = np.bincount(np.repeat(np.arange(len(lines)) * BINS, length) + points % BINS, minlength=len(lines) * BINS).reshape(-1, BINS).astype(np.int32)
+    segments = np.flatnonzero(what & SEGMENT)
+    first = np.searchsorted(unit[segments], unit)
+    count = np.where(what & PROBE, np.searchsorted(unit[segments], unit, "right") - first, 0)
+    total = np.cumsum(count)
+    found, row = [np.zeros((2, 0), np.int64)], 0
+    while row < len(lines):
+        done = int(total[row - 1]) if row else 0
+        stop = max(row + 1, int(np.searchsorted(total, done + PAIRS, "right")))
+        b = np.repeat(np.arange(row, stop), count[row:stop])
+        a = segments[np.repeat(first[row:stop] - (total[row:stop] - count[row:stop] - done), count[row:stop]) + np.arange(len(b))]
+        longer = length[b] - length[a]
+        k = np.flatnonzero((longer > 0) & (longer <= edits) | (longer == 0) & (node[a] < node[b]))
+        a, b = a[k], b[k]
+        # An edit changes the counts of two characters by one at most.
+        k = np.flatnonzero(np.abs(bins[a] - bins[b]).sum(axis=1) <= 2 * edits)
+        a, b = a[k], b[k]
+        k = np.flatnonzero(first_shared(sums, starts, length, a, b, edits) == number[a])
+        a, b = a[k], b[k]
+        near = within(points, starts[a], length[a], starts[b], length[b], edits)
+        found.append(np.stack([a[near], b[near]]))
+        row = stop
+    return np.concatenate(found, axis=1)
+
+
+def near_pairs(lines: list[str], edits: int, block: int | None = None) -> np.ndarray:
+    """Pairs of lines (2 x n, indexes) within `edits` edits; equal lines are no pair."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    length = np.array([len(x) for x in lines], np.int64)
+    starts = np.cumsum(length) - length
+    who, key, own, number = entries(tk.prefix_sums(tk.mix(points.astype(np.uint64)), _POINTS), starts, length, edits)
+    met = [np.concatenate(x) for x in zip(*meetings((key >> np.uint64(4)).view(np.int64) * (edits + 1) + number, who, own, block or BLOCK), strict=True)]
+    if not met:
         return np.zeros((2, 0), np.int64)
-    both = np.unique(np.concatenate(found))
-    a, b = both // len(lines), both % len(lines)
-    near = within(points, starts[a], length[a], starts[b], length[b], edits)
-    return np.stack([a[near], b[near]])
+    order = np.lexsort((met[2], met[1], met[0]))
+    key, i, j, node, what = (x[order] for x in met)
+    unit = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    pairs = node[near_in_units([lines[x] for x in node.tolist()], unit, node, what, key % (edits + 1), edits)]
+    pairs.sort(axis=0)
+    return pairs
 
 
-_UNIT = ("label", "i", "j")
+_UNIT = ("unit", "i", "j")
 #: Lines that are compared at once; units are not divided.
 TOGETHER = 8192
 
 
 def _compared(rows: pa.RecordBatch, unit: np.ndarray, edits: int) -> pa.RecordBatch:
     """Whole units: for each line with links in its unit their number and the earliest place they lead to."""
-    nodes = tk.longs(rows.column("node"))
-    _, at = np.unique(np.stack([unit, nodes]), axis=1, return_index=True)
-    rows, unit, nodes = rows.take(pa.array(at)), unit[at], nodes[at]
-    # Two blocks are compared with each other only; in a block with itself every line is a side of its own.
-    one = tk.longs(rows.column("i")) == tk.longs(rows.column("j"))
-    side = np.where(one, np.arange(len(at)), -1 - tk.longs(rows.column("block")))
-    a, b = near_pairs(rows.column("line").to_pylist(), edits, unit, side)
+    nodes, what, number = (tk.longs(rows.column(c)) for c in ("node", "what", "number"))
+    a, b = near_in_units(rows.column("line").to_pylist(), unit, nodes, what, number, edits)
     links = np.bincount(np.concatenate([a, b]), minlength=len(nodes))
-    key, number = tk.longs(rows.column("first_key")), tk.longs(rows.column("first_number"))
+    key, number = (tk.longs(rows.column(c)) for c in ("first_key", "first_number"))
     rank = np.empty(len(nodes), np.int64)
     order = np.lexsort((number, key))
     rank[order] = np.arange(len(nodes))
@@ -305,20 +390,13 @@ def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
     lines = seen.groupBy("node").agg(F.min(F.struct("key", "number", "mark")).alias("first"))
 
     packed = rows.select("text").mapInArrow(_packed(edits, min_chars, n), "place int, data binary")
-    links = packed.repartitionById(n, "place").mapInArrow(_met, "a long, b long").distinct()
-    groups = components(links)
-    size = cut(groups.groupBy("label").agg(F.count("*").alias("n")), "line_sizes")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = groups.join(size, "label").join(lines, "node").select(
-        F.struct("node", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int").alias("block"), F.col("first.number").alias("number"), F.col("first.key").alias("key")).alias("m"),
-        F.col("first.key").alias("key"),
-        F.col("first.mark").alias("mark"),
-    )
-    wanted = cut(members.groupBy("key", "mark").agg(F.collect_list("m").alias("wanted")), "line_members")  # at most the lines of a document
+    units = cut(packed.repartitionById(n, "place").mapInArrow(_met(edits, BLOCK), "unit long, i int, j int, node long, what int, number int"), "line_units")
+    members = units.select("node").distinct().join(lines, "node").select("node", "first.*")
+    wanted = cut(members.groupBy("key", "mark").agg(F.collect_list(F.struct("node", "number")).alias("wanted")), "line_members")  # at most the lines of a document
     texts = rows.select("key", "mark", F.split(F.coalesce("text", F.lit("")), "\n").alias("all")).join(wanted.hint("merge"), ["key", "mark"])
-    taken = texts.select(F.explode(F.transform("wanted", lambda m: F.struct(m.alias("m"), F.get("all", m["number"]).alias("line")))).alias("t"))
-    taken = taken.select("t.m.*", "t.line").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = taken.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "line", F.col("key").alias("first_key"), F.col("number").alias("first_number"))
+    taken = texts.select("key", F.explode(F.transform("wanted", lambda m: F.struct(m["node"], m["number"].alias("at"), F.get("all", m["number"]).alias("line")))).alias("m"))
+    taken = taken.select("m.node", F.col("key").alias("first_key"), F.col("m.at").alias("first_number"), "m.line").dropDuplicates(["node"])  # equal rows give a line twice
+    units = units.join(taken.hint("merge"), "node")
     dealt = units.repartition(*_UNIT).sortWithinPartitions(*_UNIT)
     found = cut(dealt.mapInArrow(_verified(edits), "node long, links long, near_key long, near_number long"), "line_links")
     near = found.groupBy("node").agg(F.sum("links").alias("links"), F.min(F.struct(F.col("near_key").alias("key"), F.col("near_number").cast("int").alias("number"))).alias("near"))

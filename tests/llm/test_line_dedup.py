@@ -122,3 +122,32 @@ def test_columns_named_like_internal_ones(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_a_chain_of_shared_segments_is_not_compared_as_one_group(spark, monkeypatch):
+    """Lines that only share a segment with their neighbours: what is compared grows with the lines, not with their square."""
+    rng = np.random.default_rng(7)
+    piece = ["".join(chr(97 + x) for x in rng.integers(0, 26, 8)) for _ in range(300)]
+    lines = [piece[(k + 1) // 2] + piece[100 + k // 2] + piece[200 + k] for k in range(80)]
+    compared = spark.sparkContext.accumulator(0)
+
+    def counted(edits):
+        def run(batches):
+            for batch in batches:
+                compared.add(batch.num_rows)
+            yield from ()
+
+        return run
+
+    monkeypatch.setattr(ld, "BLOCK", 4)
+    monkeypatch.setattr(ld, "_verified", counted)
+    run(spark, list(enumerate(lines)))
+    assert len(lines) <= compared.value <= 4 * len(lines)
+
+
+def test_blocks_of_one_key_in_memory():
+    """Lines of one large key in many units: every pair is found once."""
+    rng = np.random.default_rng(8)
+    lines = sorted({"the same begin" + "".join(chr(97 + x) for x in rng.integers(0, 3, rng.integers(6, 9))) for _ in range(60)})
+    found = [tuple(x) for x in ld.near_pairs(lines, 2, 4).T.tolist()]
+    assert sorted(found) == [(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if distance(lines[i], lines[j]) <= 2]
