@@ -9,7 +9,7 @@ the classes above alone. In a cell the softmax has one weight for each word, who
 share of its counted tokens. The end of a text is the first class of the first level and alone in it.
 
 Training takes PASSES passes over all training documents. In each, every task takes gradient steps over its own documents from the
-shared table, and Spark averages the tasks' moves of each row, weighed by how often the row was used.
+shared table, at every token for every feature, and Spark averages the tasks' moves of each row, weighed by how often the row was used.
 
 The table has SLOTS rows for contexts at any input size (a parameter), as it is what the driver holds and every task reads. Counts of words,
 which grow with the corpus, stay distributed. A task gathers documents into chunks; of each chunk the distinct words go to buckets by
@@ -107,7 +107,9 @@ def rows_of(contexts: np.ndarray, above: np.ndarray, level: int, slots: int) ->
     return out
 
 
-_ONES = np.ones((BRANCH, 1), np.float32)
+#: Products with these give sums and factors in all columns, which is faster than to spread one column.
+_ONES, _ROW = np.ones((BRANCH, BRANCH), np.float32), np.ones((1, BRANCH), np.float32)
+_FIRST = np.zeros(1, np.int64)
 
 
 def softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -123,7 +125,7 @@ def softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
 class Steps:
     """Gradient steps of one task: from a table and each row's uses in the passes before.
 
-    A batch moves the rows of one kind of context, the kinds in turn, and those of the classes above.
+    Every token moves its rows of every kind of context, and those of the classes above.
     """
 
     def __init__(self, table: np.ndarray, used: np.ndarray):
@@ -131,7 +133,7 @@ class Steps:
         self.whole = self.table.view(np.dtype(f"V{self.table.itemsize * BRANCH}")).reshape(-1)  # rows as items, which are stored faster
         self.new = not table[:NODES].any()
         self.used = used.copy()
-        self.turn = 0
+        self.last = np.zeros(len(table), np.int32)
 
     def _begin(self, t: Tokens) -> None:
         """The classes' own rows begin with the logarithms of their shares in a task's first texts."""
@@ -148,13 +150,15 @@ class Steps:
         contexts, cells = t.contexts(), t.cells()
         for a in range(0, len(cells), BATCH):
             self._batch(contexts[:, a : a + BATCH], cells[a : a + BATCH])
-            self.turn = (self.turn + 1) % CONTEXTS
 
     def _batch(self, contexts: np.ndarray, cells: np.ndarray) -> None:
         path = cells.astype(np.uint64)
         # Tokens in the order of context and path: those that share a row, at any level, are side by side.
-        kinds = {self.turn: (contexts[self.turn] & ~U(CELLS - 1)) | path, CONTEXTS: path}
-        sorted_by = {kind: np.argsort(key) for kind, key in kinds.items()}
+        kinds = []
+        for key in [*((c & ~U(CELLS - 1)) | path for c in contexts), path]:
+            order = np.argsort(key)
+            key = key.take(order)
+            kinds.append((order, key[1:] ^ key[:-1]))
         end = np.flatnonzero(cells == 0)
         for level in range(LEVELS):
             above, right = cells // BRANCH ** (LEVELS - level), cells // BRANCH ** (LEVELS - level - 1) % BRANCH
@@ -163,18 +167,27 @@ class Steps:
             wrong.reshape(-1)[np.arange(len(cells)) * BRANCH + right] -= 1
             if level:
                 wrong[end] = 0  # an end has no further classes
-            for kind, key in kinds.items():
-                order = sorted_by[kind]
-                group = key[order] // U(BRANCH ** (LEVELS - level))
-                new = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            shift = U((BRANCH ** (LEVELS - level)).bit_length() - 1)
+            for (order, differs), named in zip(kinds, rows, strict=True):
+                new = np.concatenate([_FIRST, np.flatnonzero(differs >> shift) + 1])
                 move = np.add.reduceat(wrong.take(order, axis=0).view(np.complex64), new, axis=0).view(np.float32)  # pairs at a time
-                size, at = np.diff(np.append(new, len(cells))).astype(np.float32), rows[kind][order[new]]
-                # A row's steps shrink with its uses, and those in one batch count as one, so that frequent rows do not leap. Of two
-                # contexts of a batch that share a row, one moves it.
-                used = self.used.take(at) + size
-                self.used[at] = used
-                move *= (RATE / np.sqrt(size * used))[:, None]
-                self.whole[at] = (self.table.take(at, axis=0) - move).view(self.whole.dtype).reshape(-1)
+                size = np.empty(len(new), np.float32)
+                size[:-1], size[-1] = new[1:] - new[:-1], len(cells) - new[-1]
+                self._step(named.take(order.take(new)), size, move)
+
+    def _step(self, at: np.ndarray, size: np.ndarray, move: np.ndarray) -> None:
+        """Moves rows against the sums of `size` gradients; of contexts that share a row the last moves it, then the others in turn."""
+        while len(at):
+            number = np.arange(len(at), dtype=np.int32)
+            self.last[at] = number
+            # A row's steps shrink with its uses, and those in one batch count as one, so that frequent rows do not leap.
+            used = self.used.take(at) + size
+            self.used[at] = used
+            step = (RATE / np.sqrt(size * used))[:, None] @ _ROW
+            step *= move
+            self.whole[at] = np.subtract(self.table.take(at, axis=0), step, out=step).view(self.whole.dtype).reshape(-1)
+            left = np.flatnonzero(self.last.take(at) != number)
+            at, size, move = at[left], size[left], move[left]
 
 
 def log_classes(table: np.ndarray, t: Tokens) -> np.ndarray:

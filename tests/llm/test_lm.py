@@ -126,6 +126,20 @@ def test_probabilities_of_all_words_sum_to_one():
         assert abs(total - 1) < 1e-6
 
 
+def test_every_token_moves_every_feature():
+    """More than one batch, and rows that several contexts of a batch share."""
+    rng = np.random.default_rng(4)
+    t = lm.Tokens(tk.texts_of(pa.array([" ".join(f"w{x}" for x in rng.integers(0, 3000, n)) for n in (9000, 700, 0, 8000)])))
+    slots = 1 << 12
+    steps = lm.Steps(np.zeros((lm.NODES + slots, lm.BRANCH), np.float32), np.zeros(lm.NODES + slots, np.float32))
+    steps.learn(t)
+    want, above = np.zeros(lm.NODES + slots, np.int64), np.zeros(len(t.hashes), np.int64)
+    for level in range(lm.LEVELS):
+        want += np.bincount(lm.rows_of(t.contexts(), above, level, slots).reshape(-1), minlength=len(want))
+        above = above * lm.BRANCH + t.classes[:, level]
+    assert steps.used.tolist() == want.tolist()
+
+
 def test_context_tells_words_of_one_first_class_apart(spark):
     """Words that begin and end alike, each after its own word: to know that two kinds of words take turns is worth log10(2) a token."""
     rng = np.random.default_rng(8)
