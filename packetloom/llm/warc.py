@@ -13,6 +13,9 @@ Defined cases: a null html is an empty payload; a null url gives the target `abo
 page all are responses when they hold the smallest page_id of their payload (they are alike); a null page_id
 sorts before all others. A very long html is one value in one row, of 2 GB at most. Empty tables make an empty archive. Further columns are not
 read.
+
+Payloads are shuffled twice, once when an archive is written and once when its records are put together. Each shuffle's files are removed as soon as
+its job is done, so that disk holds one of them at a time, whenever the driver's garbage collector may run.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +34,18 @@ from .shared import cut, shared_dir
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
 RECORD = "page_id long, header binary, sha256 string"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Writes within remove their shuffle files when they end, not when the driver's garbage collector finds them unused."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -81,13 +97,15 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
         "refers_to", F.when(revisit, F.col("__first"))
     )
     block = F.when(F.col("record_type") == "response", F.col("sha256"))
-    records.select("page_id", F.encode(_header(date), "UTF-8").alias("header"), block.alias("sha256")).write.parquet(f"{path}/records")
+    headers = records.select("page_id", F.encode(_header(date), "UTF-8").alias("header"), block.alias("sha256"))
     # Payloads move once: the bytes are joined to the first page of each digest, where equal rows of it are merged.
     key = F.coalesce(F.col("page_id"), F.lit(-(1 << 63)))
     keys = first.select(F.coalesce(F.col("__first"), F.lit(-(1 << 63))).alias("__of"), "__sha256")
     stored = pages.select(key.alias("__key"), payload.alias("payload")).join(keys, (F.col("__key") == F.col("__of")) & (F.sha2("payload", 256) == F.col("__sha256")))
     unique = stored.dropDuplicates(["__of", "__sha256"]).select(F.col("__sha256").alias("sha256"), "payload")
-    unique.write.option("compression", "zstd").parquet(f"{path}/payloads")
+    with _shuffles_freed(pages.sparkSession):
+        headers.write.parquet(f"{path}/records")
+        unique.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -131,9 +149,11 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         length.cast("long").alias("bytes"),
         base32_sha1(block).alias("digest"),
     )
-    parsed = cut(parsed, "warc_read")
+    with _shuffles_freed(spark):
+        parsed = cut(parsed, "warc_read")
     first = parsed.where(F.col("kind") == "response").groupBy(F.col("id").alias("first_id")).agg(F.first("page_id").alias("first_page"), F.first("bytes").alias("first_bytes"), F.first("digest").alias("first_digest"))
-    first = cut(first, "warc_first")  # so that the join can split a record that very many refer to
+    with _shuffles_freed(spark):
+        first = cut(first, "warc_first")  # so that the join can split a record that very many refer to
     revisit = F.col("kind") == "revisit"
     joined = parsed.join(first, F.col("of") == F.col("first_id"), "left")
     digest = F.when(revisit, F.col("first_digest")).otherwise(F.col("digest"))
@@ -195,5 +215,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def add_records(rows: DataFrame, path: str) -> None:
     """Store records (page_id, header, payload) unchanged: headers apart, each payload once."""
     keyed = rows.withColumn("sha256", F.sha2(F.coalesce(F.col("payload"), F.lit(b"")), 256))
-    keyed.select("page_id", "header", "sha256").write.parquet(f"{path}/records")
-    keyed.select("sha256", F.coalesce(F.col("payload"), F.lit(b"")).alias("payload")).dropDuplicates(["sha256"]).write.parquet(f"{path}/payloads")
+    unique = keyed.select("sha256", F.coalesce(F.col("payload"), F.lit(b"")).alias("payload")).dropDuplicates(["sha256"])
+    with _shuffles_freed(rows.sparkSession):
+        keyed.select("page_id", "header", "sha256").write.parquet(f"{path}/records")
+        unique.write.parquet(f"{path}/payloads")

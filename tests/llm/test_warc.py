@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import time
 
 import pytest
 
@@ -100,3 +101,22 @@ def test_ordinary_files_survive_a_round_trip(spark, tmp_path):
 def test_empty(spark, tmp_path):
     warc.write_archive(frame(spark, []), str(tmp_path / "a"))
     assert warc.read_archive(spark, str(tmp_path / "a")).collect() == []
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (files.apply(k).getName() for k in range(files.size()))
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def test_no_shuffle_outlives_its_job(spark, tmp_path):
+    path, setting = str(tmp_path / "a"), spark.conf.get(warc.CLEANUP)
+    pages, old = frame(spark).select("page_id", "url", "html"), shuffle_files(spark)
+    for job in (lambda: warc.write_archive(pages, path), lambda: warc.read_archive(spark, path)):
+        job()
+        until = time.monotonic() + 10
+        while (left := shuffle_files(spark) - old) and time.monotonic() < until:
+            time.sleep(0.1)
+        assert not left
+    assert spark.conf.get(warc.CLEANUP) == setting
+    assert sorted(map(tuple, warc.read_archive(spark, path).collect()), key=str) == brute(ROWS)
